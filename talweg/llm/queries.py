@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import simhash
+from talweg.llm import bpe, prefix_tokens, simhash
 from talweg.llm.common import table
 
 
@@ -14,8 +14,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(table(spark, sf_dir, "documents"), bpe.default_codec())
+
+
+def op7_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tokens.token_counts(table(spark, sf_dir, "documents"), prefix_tokens.default_counter())
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op7_prefix_tokens": op7_prefix_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {}
