@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import bpe, prefix_tokens, simhash
+from talweg.llm import bpe, exact_dedup, mixing, prefix_tokens, quality, rules, sharding, simhash, toxicity, urls
 from talweg.llm.common import table
 
 
@@ -18,14 +18,53 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), bpe.default_codec())
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.clean(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op7_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.token_counts(table(spark, sf_dir, "documents"), prefix_tokens.default_counter())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.assign(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_sharding": op4_sharding,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_mixing": op6_mixing,
     "op7_prefix_tokens": op7_prefix_tokens,
+    "op8_toxicity": op8_toxicity,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": rules.ORACLE_SQL,
+    "op4_sharding": sharding.ORACLE_SQL,
+    "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+}
