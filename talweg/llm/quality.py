@@ -16,11 +16,11 @@ THRESHOLD = 0.3
 #: Words of a passage; the last one of a text may be shorter.
 PASSAGE = 64
 #: Documents that train the model at most, and bytes that one of them may have.
-TRAINING_ROWS = 3000
+TRAINING_ROWS = 1500
 TRAINING_BYTES = 16_000
 HIDDEN = 12
 ATTENTION = 8
-STEPS = 250
+STEPS = 150
 
 #: Byte classes that are counted.
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", b"!?", b"|", b"#*$%&<>", b"'\"()[]{}-_/\\", bytes(range(128, 256)))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +22,15 @@ TRAINING_ROWS = 5000
 TRAINING_BYTES = 12_000
 #: Tokens of a training sequence, and of all sequences at most.
 WINDOW = 24
-TRAINING_TOKENS = 150_000
-#: A feature marks a token of a toxic document as toxic if so many documents have it and this part of them is toxic.
-LEAST_DOCUMENTS = 5
+TRAINING_TOKENS = 72_000
+#: A feature marks a token of a toxic document as toxic if this part of the groups of near-copies that have it is toxic, and
+#: if as many toxic ones, with as many features tried, would come by chance this rarely.
 LEAST_TOXIC = 0.9
+CHANCE = 0.05
 PREFIXES = (3, 4, 5, 6)
-STEPS = 120
+STEPS = 80
+#: Minimum hashes of a training document; those that share one are near-copies.
+SKETCH = 3
 REMEMBERED = 1 << 19
 
 TOKEN = re.compile(r"\w+")
@@ -70,8 +74,8 @@ class Field:
 
     def fit(self, windows: list[tuple[list[str], list[int]]]) -> "Field":
         """Proximal Adam on the log likelihood of labelled token sequences; the penalty leaves most weights at zero."""
-        seen = Counter(f for tokens, _ in windows for t in tokens for f in set(features(t)))
-        names = sorted(f for f, n in seen.items() if n >= 3)
+        seen = Counter(f for tokens, tags in windows for t, y in zip(tokens, tags) if y for f in set(features(t)))
+        names = sorted(f for f, n in seen.items() if n >= 2)  # features of no toxic token are left to the bias
         index = {f: i + 1 for i, f in enumerate(names)}  # 0: no feature
         long = max(len(t) for t, _ in windows)
         ids = np.zeros((len(windows), long, 1 + len(PREFIXES)), np.int64)
@@ -206,23 +210,52 @@ class Field:
         return found
 
 
+def copy_groups(texts: list[list[str]]) -> list[int]:
+    """A number for each text; texts that share a minimum hash of their word triples share the number."""
+    mixers = np.random.default_rng(8).integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
+    owner: dict[tuple[int, int], int] = {}
+    root = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, tokens in enumerate(texts):
+        triples = {" ".join(t) for t in zip(tokens, tokens[1:], tokens[2:])} or {" ".join(tokens)}
+        hashes = np.array([xxhash.xxh64_intdigest(t) for t in triples], np.uint64)
+        for k, mixer in enumerate(mixers):
+            low = int((hashes * mixer).min())
+            root[find(i)] = find(owner.setdefault((k, low), i))
+    return [find(i) for i in range(len(texts))]
+
+
 def token_labels(texts: list[list[str]], toxic: list[int]) -> list[list[int]]:
-    """Labels of tokens from labels of documents: tokens of toxic documents that have a feature of toxic documents only."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for tokens, y in zip(texts, toxic):
-        seen[y].update({f for t in set(tokens) for f in features(t)})
-    marks = {f for f, n in seen[1].items() if n >= LEAST_DOCUMENTS and n >= LEAST_TOXIC * (n + seen[0][f])}
-    cache: dict[str, int] = {}
-    out = []
-    for tokens, y in zip(texts, toxic):
-        if not y:
-            out.append([0] * len(tokens))
-            continue
+    """Labels of tokens from labels of documents: tokens of toxic documents that have a feature of toxic documents only.
+
+    A group of near-copies counts once, else every rare word of a toxic text that was copied would seem a sign.
+    """
+    groups = copy_groups(texts)
+    known: dict[str, list[str]] = {}
+    members: tuple[dict[int, set[str]], dict[int, set[str]]] = ({}, {})
+    for tokens, y, g in zip(texts, toxic, groups):
+        own = members[y].setdefault(g, set())
         for t in set(tokens):
-            if t not in cache:
-                cache[t] = int(not marks.isdisjoint(features(t)))
-        out.append(list(map(cache.__getitem__, tokens)))
-    return out
+            own.update(known.get(t) or known.setdefault(t, features(t)))
+    seen = [Counter(f for own in kind.values() for f in own) for kind in members]
+    share = len(members[1]) / (len(members[0]) + len(members[1]))
+    enough = math.log(len(seen[0] | seen[1]) / CHANCE)  # for all features together
+
+    def telling(n: int, of: int) -> bool:
+        """Chernoff's bound on n or more toxic groups among so many, were the feature no sign."""
+        part = n / of
+        gain = n * math.log(part / share) + (of - n) * math.log((1 - part) / (1 - share) if n < of else 1)
+        return part >= max(LEAST_TOXIC, share) and gain >= enough
+
+    marks = {f for f, n in seen[1].items() if telling(n, n + seen[0][f])} if share < 1 else set()
+    signs = {t for t, own in known.items() if not marks.isdisjoint(own)}
+    return [[int(t in signs) for t in tokens] if y else [0] * len(tokens) for tokens, y in zip(texts, toxic)]
 
 
 def windows(texts: list[list[str]], tags: list[list[int]]) -> list[tuple[list[str], list[int]]]:
