@@ -29,7 +29,7 @@ def strip(text: Column) -> Column:
 
 
 def without_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, ACCENTED, PLAIN)).otherwise(text)
 
 
 def normalize_search(text: Column) -> Column:

@@ -21,12 +21,16 @@ def l2_normalized(v: Column) -> Column:
     return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n)))[0]
 
 
+def bucket(token: Column, dimensions: int) -> Column:
+    """Where the offline embedder counts a token."""
+    return F.conv(F.substring(F.sha2(token, 256), 1, 4), 16, 10).cast("int") % dimensions
+
+
 def hashed(docs: DataFrame, key: str, dimensions: int) -> DataFrame:
     """(key, text) -> (key, bucket, value): sparse unit vectors of hashed token counts.
 
     The offline stand-in of an embedding model: same text, same vector, and texts that share words are close.
     """
-    bucket = F.conv(F.substring(F.sha2(F.col("token"), 256), 1, 4), 16, 10).cast("int") % dimensions
-    counts = docs.select(key, F.explode(tokens(F.col("text"))).alias("token")).groupBy(key, bucket.alias("bucket")).agg(F.count("*").alias("tf"))
+    counts = docs.select(key, F.explode(tokens(F.col("text"))).alias("token")).groupBy(key, bucket(F.col("token"), dimensions).alias("bucket")).agg(F.count("*").alias("tf"))
     norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("length"))
     return counts.join(norms, key).select(key, "bucket", (F.col("tf") / F.col("length")).alias("value"))

@@ -17,6 +17,16 @@ from talweg.functions.vectors import dot, norm
 APPROXIMATE_FROM = 50_000
 
 
+def best_rows(keys: np.ndarray, sims: np.ndarray, ids: list[int], top: int, above: float = -2.0) -> pa.RecordBatch:
+    """The best rows of a batch for each query: (query_id, doc_id, score) out of rows x queries of similarities."""
+    chosen = []
+    for j in range(len(ids)):
+        rows = np.flatnonzero(sims[:, j] > above)
+        chosen.append(rows[np.lexsort((keys[rows], -sims[rows, j]))[:top]])
+    scores = np.concatenate([sims[rows, j] for j, rows in enumerate(chosen)])
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(c) for c in chosen]), pa.int64()), pa.array(keys[np.concatenate(chosen)], pa.int64()), pa.array(scores)], ["query_id", "doc_id", "score"])
+
+
 def exact_topk(vectors: DataFrame, queries: np.ndarray, ids: list[int], top: int) -> DataFrame:
     """(vec_id, embedding) and query rows -> (query_id, vec_id, score, rank) by cosine.
 
@@ -33,8 +43,7 @@ def exact_topk(vectors: DataFrame, queries: np.ndarray, ids: list[int], top: int
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             rows = flat.reshape(len(keys), -1)
             sims = np.round((rows @ q.T) / np.maximum(np.linalg.norm(rows, axis=1), 1e-30)[:, None], 6)
-            best = [np.lexsort((keys, -sims[:, j]))[:top] for j in range(len(q))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(b) for b in best])), pa.array(np.concatenate([keys[b] for b in best])), pa.array(np.concatenate([sims[b, j] for j, b in enumerate(best)]))], ["query_id", "vec_id", "score"])
+            yield best_rows(keys, sims, ids, top).rename_columns(["query_id", "vec_id", "score"])
 
     candidates = vectors.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
