@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from talweg.llm import bpe, exact_dedup, mixing, prefix_tokens, quality, rules, sharding, simhash, toxicity, urls
 from talweg.llm.common import table

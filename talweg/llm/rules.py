@@ -16,6 +16,9 @@ MOST_SYMBOL_PERCENT = 10
 NOISE = r"[#*$%&|<>{}\\~^=]|!!|\?\?"
 #: ... or if it is navigation: short, and begins with or consists of menu words ...
 NAVIGATION = r"(?i)^[ \t]*(home|menu|login|log in|sign in|sign up|register|search|share|print|next|previous|back to top|skip to content|read more|click here|contact us|about us|sitemap)([ \t]*([|>»/·-][^\n]*)?)?$"
+#: ... or is a bar of links: so many separators at least, and one for every three words or separators ...
+SEPARATORS = "[|»›•]"
+LEAST_SEPARATORS = 4
 #: ... or if it is boilerplate: legal and technical notices.
 BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie(s| policy)|copyright ?(\(c\)|©)|©|subscribe to our|lorem ipsum|javascript|licensed under|permission is hereby granted)"
 #: Without the failed lines, a document keeps at least this share of its words.
@@ -107,7 +110,9 @@ def repeated_words(words: Column) -> Column:
 def line_fails(line: Column) -> Column:
     """Punctuation, navigation and boilerplate rules of a line with at least one word."""
     noisy = 100 * F.regexp_count(line, F.lit(NOISE)) > MOST_SYMBOL_PERCENT * F.length(line)
-    return noisy | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+    bars = F.regexp_count(line, F.lit(SEPARATORS))
+    menu = (bars >= LEAST_SEPARATORS) & (3 * bars >= F.regexp_count(line, F.lit(r"[^ \t-\r]+")))
+    return noisy | menu | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -149,6 +154,7 @@ WITH d AS (
 ), c AS (
   SELECT r, list_filter(ls, lambda x: NOT (
       100 * len(regexp_extract_all(x, '[#*$%&|<>{}\\~^=]|!!|\?\?')) > 10 * length(x)
+      OR len(regexp_extract_all(x, '[|»›•]')) >= 4 AND 3 * len(regexp_extract_all(x, '[|»›•]')) >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
       OR regexp_matches(x, '(?i)^[ \t]*(home|menu|login|log in|sign in|sign up|register|search|share|print|next|previous|back to top|skip to content|read more|click here|contact us|about us|sitemap)([ \t]*([|>»/·-][^\n]*)?)?$')
       OR regexp_matches(x, '(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie(s| policy)|copyright ?(\(c\)|©)|©|subscribe to our|lorem ipsum|javascript|licensed under|permission is hereby granted)'))) AS ok
   FROM s
