@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ PREFIXES = (3, 4, 5, 6)
 STEPS = 80
 #: Minimum hashes of a training document; those that share one are near-copies.
 SKETCH = 3
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 TOKEN = re.compile(r"\w+")
 
@@ -237,15 +238,15 @@ def token_labels(texts: list[list[str]], toxic: list[int]) -> list[list[int]]:
     A group of near-copies counts once, else every rare word of a toxic text that was copied would seem a sign.
     """
     groups = copy_groups(texts)
-    known: dict[str, list[str]] = {}
-    members: tuple[dict[int, set[str]], dict[int, set[str]]] = ({}, {})
-    for tokens, y, g in zip(texts, toxic, groups):
-        own = members[y].setdefault(g, set())
-        for t in set(tokens):
-            own.update(known.get(t) or known.setdefault(t, features(t)))
-    seen = [Counter(f for own in kind.values() for f in own) for kind in members]
-    share = len(members[1]) / (len(members[0]) + len(members[1]))
-    enough = math.log(len(seen[0] | seen[1]) / CHANCE)  # for all features together
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    sizes = [0, 0]
+    order = sorted(range(len(texts)), key=lambda i: (toxic[i], groups[i]))
+    for (y, _), own in groupby(order, key=lambda i: (toxic[i], groups[i])):  # one group's features at a time
+        seen[y].update({f for i in own for t in set(texts[i]) for f in features(t)})
+        sizes[y] += 1
+    share = sizes[1] / sum(sizes)
+    tried = len(seen[0]) + sum(f not in seen[0] for f in seen[1])
+    enough = math.log(tried / CHANCE)  # for all features together
 
     def telling(n: int, of: int) -> bool:
         """Chernoff's bound on n or more toxic groups among so many, were the feature no sign."""
@@ -254,7 +255,7 @@ def token_labels(texts: list[list[str]], toxic: list[int]) -> list[list[int]]:
         return part >= max(LEAST_TOXIC, share) and gain >= enough
 
     marks = {f for f, n in seen[1].items() if telling(n, n + seen[0][f])} if share < 1 else set()
-    signs = {t for t, own in known.items() if not marks.isdisjoint(own)}
+    signs = {t for t in set().union(*(x for x, y in zip(texts, toxic) if y)) if not marks.isdisjoint(features(t))}
     return [[int(t in signs) for t in tokens] if y else [0] * len(tokens) for tokens, y in zip(texts, toxic)]
 
 
