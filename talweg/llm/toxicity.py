@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -21,9 +22,11 @@ THRESHOLD = 0.3
 #: Documents that train the field at most, and bytes that one of them may have.
 TRAINING_ROWS = 5000
 TRAINING_BYTES = 12_000
-#: Tokens of a training sequence, and of all sequences at most.
+#: Tokens of a training sequence, and of sequences together, beyond which those without labelled tokens are thinned.
 WINDOW = 24
 TRAINING_TOKENS = 72_000
+#: Training sequences whose marginals are computed at once, which bounds the memory and nothing else.
+BLOCK = 2048
 #: A feature marks a token of a toxic document as toxic if this part of the groups of near-copies that have it is toxic, and
 #: if as many toxic ones, with as many features tried, would come by chance this rarely.
 LEAST_TOXIC = 0.9
@@ -77,28 +80,36 @@ class Field:
         """Proximal Adam on the log likelihood of labelled token sequences; the penalty leaves most weights at zero."""
         seen = Counter(f for tokens, tags in windows for t, y in zip(tokens, tags) if y for f in set(features(t)))
         names = sorted(f for f, n in seen.items() if n >= 2)  # features of no toxic token are left to the bias
-        index = {f: i + 1 for i, f in enumerate(names)}  # 0: no feature
+        index = {f: i for i, f in enumerate(names)}
         long = max(len(t) for t, _ in windows)
-        ids = np.zeros((len(windows), long, 1 + len(PREFIXES)), np.int64)
-        labels, there = np.zeros((len(windows), long), np.int64), np.zeros((len(windows), long), bool)
+        labels, there = np.zeros((len(windows), long), np.int8), np.zeros((len(windows), long), bool)
+        at, of = array("q"), array("q")  # the places of the known features, row by row, and these features
         for s, (tokens, tags) in enumerate(windows):
             there[s, : len(tokens)] = True
             labels[s, : len(tags)] = tags
             for t, token in enumerate(tokens):
                 own = [index[f] for f in features(token) if f in index]
-                ids[s, t, : len(own)] = own
-        theta, bias, pairs = np.zeros(len(names) + 1), np.array([self.bias]), np.zeros((2, 2))
+                at.extend([s * long + t] * len(own))
+                of.extend(own)
+        at, of = np.array(at, np.int64), np.array(of, np.int64)
+        cuts = range(0, len(windows), BLOCK)
+        edges = np.searchsorted(at, [c * long for c in cuts] + [len(windows) * long])
+        theta, bias, pairs = np.zeros(len(names)), np.array([self.bias]), np.zeros((2, 2))
         moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (theta, bias, pairs)]
         count = there.sum()
         follows = there[:, 1:]
         pair_labels = np.bincount((labels[:, :-1] * 2 + labels[:, 1:])[follows], minlength=4).reshape(2, 2)
         for step in range(1, STEPS + 1):
-            e = np.where(there, theta[ids].sum(axis=2) + bias[0], 0.0)
-            marginals, pair_sums = self._marginals(e, there, pairs)
-            d_e = np.where(there, marginals - labels, 0.0)
-            d_theta = np.bincount(ids.ravel(), weights=np.repeat(d_e.ravel(), ids.shape[2]), minlength=len(theta))
-            d_theta[0] = 0
-            grads = (d_theta, np.array([d_e.sum()]), pair_sums - pair_labels + 0.5 * pairs)
+            d_theta, d_bias, pair_sums = np.zeros_like(theta), 0.0, np.zeros((2, 2))
+            for k, cut in enumerate(cuts):
+                some, place, feature = there[cut : cut + BLOCK], at[edges[k] : edges[k + 1]] - cut * long, of[edges[k] : edges[k + 1]]
+                e = np.bincount(place, weights=theta[feature], minlength=some.size).reshape(some.shape)
+                marginals, sums = self._marginals(np.where(some, e + bias[0], 0.0), some, pairs)
+                d_e = np.where(some, marginals - labels[cut : cut + BLOCK], 0.0)
+                d_theta += np.bincount(feature, weights=d_e.ravel()[place], minlength=len(theta))
+                d_bias += d_e.sum()
+                pair_sums += sums
+            grads = (d_theta, np.array([d_bias]), pair_sums - pair_labels + 0.5 * pairs)
             for x, g, mom in zip((theta, bias, pairs), grads, moments):
                 mom[0] = 0.9 * mom[0] + 0.1 * g
                 mom[1] = 0.999 * mom[1] + 0.001 * g * g
@@ -260,15 +271,18 @@ def token_labels(texts: list[list[str]], toxic: list[int]) -> list[list[int]]:
 
 
 def windows(texts: list[list[str]], tags: list[list[int]]) -> list[tuple[list[str], list[int]]]:
-    """Training sequences: all around labelled tokens, and evenly spaced ones elsewhere, up to the bound."""
+    """Training sequences: every one with labelled tokens, however many, and evenly spaced ones of the others.
+
+    The others fill up to the bound, and are half of the bound at least, if there are so many.
+    """
     near, far = [], []
     for tokens, own in zip(texts, tags):
         for at in range(0, len(tokens), WINDOW):
             part = (tokens[at : at + WINDOW], own[at : at + WINDOW])
             (near if any(part[1]) else far).append(part)
-    near = near[: TRAINING_TOKENS // WINDOW // 2]
-    room = TRAINING_TOKENS // WINDOW - len(near)
-    return near + far[:: max(1, -(-len(far) // max(1, room)))]
+    bound = TRAINING_TOKENS // WINDOW
+    room = max(bound - len(near), bound // 2)
+    return near + far[:: max(1, -(-len(far) // room))]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:

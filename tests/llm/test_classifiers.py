@@ -62,6 +62,15 @@ def test_marginals_are_those_of_all_paths():
     assert field.marginals(n, places, evidence) == pytest.approx([m / total for m in marked])
 
 
+def test_every_labelled_sequence_trains_the_field_even_the_last():
+    pad = ["kiba", "solu", "neva"] * 8
+    texts = [[*pad[:10], "vexum" if i < 1600 else "gronk", *pad[:13], *pad] for i in range(1700)]
+    tags = [[int(t in ("vexum", "gronk")) for t in tokens] for tokens in texts]
+    chosen = toxicity.windows(texts, tags)
+    assert sum(any(own) for _, own in chosen) == 1700 and sum(not any(own) for _, own in chosen) >= 850
+    assert toxicity.Field().fit(chosen).evidence("gronk") > 0
+
+
 def test_spans_are_offsets_of_the_text(tables):
     docs, labels, _ = tables
     field = toxicity.train(docs, labels)
