@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talweg.functions.vectors import dot, norm
-
 #: From so many rows on, "auto" searches approximately.
 APPROXIMATE_FROM = 50_000
+#: Queries of one matrix product at most.
+QUERY_BLOCK = 1024
 
 
 def best_rows(keys: np.ndarray, sims: np.ndarray, ids: list[int], top: int, above: float = -2.0) -> pa.RecordBatch:
@@ -37,7 +38,7 @@ def exact_topk(vectors: DataFrame, queries: np.ndarray, ids: list[int], top: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not ids:
                 continue
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -50,24 +51,53 @@ def exact_topk(vectors: DataFrame, queries: np.ndarray, ids: list[int], top: int
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
+def named_rows(vectors: DataFrame, ids: list[int]) -> tuple[list[int], np.ndarray]:
+    """Those of a few named rows that exist and have a vector, in the order of the names, and their vectors."""
+    found = {r.vec_id: r.embedding for r in vectors.filter(F.col("vec_id").isin(*ids) & F.col("embedding").isNotNull()).collect()}
+    there = [i for i in ids if i in found]
+    return there, np.array([found[i] for i in there], np.float64) if there else np.zeros((0, 1))
+
+
 def query_matrix(vectors: DataFrame, ids: list[int]) -> np.ndarray:
-    """The vectors of a few named rows, in the order of the names."""
+    """The vectors of a few named rows, in the order of the names; all of them must exist."""
     found = {r.vec_id: r.embedding for r in vectors.filter(F.col("vec_id").isin(*ids)).collect()}
     return np.array([found[i] for i in ids], np.float64)
 
 
+def by_blocks(vectors: DataFrame, every: int, search: Callable[[list[int], np.ndarray], DataFrame]) -> DataFrame:
+    """search(ids, matrix) for all rows whose id is divisible by ``every``, so many of them at once that memory is bounded."""
+    rows = vectors.filter((F.col("vec_id") % every == 0) & F.col("embedding").isNotNull()).select("vec_id").distinct().collect()
+    ids = sorted(r.vec_id for r in rows)
+    found = [search(*named_rows(vectors, ids[i : i + QUERY_BLOCK])) for i in range(0, max(len(ids), 1), QUERY_BLOCK)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def approximate_topk(vectors: DataFrame, queries: np.ndarray, ids: list[int], top: int, *, tables: int = 10, width: float = 1.0, seed: int = 0) -> DataFrame:
     """As exact_topk(), among the rows that share a bucket with the query in one table at least; they are scored exactly."""
-    spark = vectors.sparkSession
-    as_vector = lambda df: df.withColumn("v", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(as_vector(vectors))
-    bucket = lambda df, *cols: model.transform(as_vector(df)).select(*cols, F.posexplode("h").alias("table", "b")).select(*cols, "table", F.element_at(vector_to_array(F.col("b")), 1).alias("bucket"))
-    asked = spark.createDataFrame([(i, [float(x) for x in q]) for i, q in zip(ids, queries)], "query_id bigint, embedding array<double>")
-    pairs = bucket(vectors, "vec_id").join(F.broadcast(bucket(asked, "query_id")), ["table", "bucket"]).select("query_id", "vec_id").distinct()  # the caller's queries
-    rows = pairs.join(vectors.select("vec_id", "embedding"), "vec_id").join(F.broadcast(asked.withColumnRenamed("embedding", "q")), "query_id")
-    sims = F.round(dot(F.col("embedding"), F.col("q")) / F.greatest(norm(F.col("embedding")) * norm(F.col("q")), F.lit(1e-30)), 6)
+    if not ids:
+        return exact_topk(vectors, queries, ids, top)
+    as_vector = vectors.filter(F.col("embedding").isNotNull()).withColumn("v", array_to_vector(F.col("embedding").cast("array<double>")))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(as_vector)
+    planes = model._call_java("randMatrix").toArray()  # a row a table
+    q = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-30)
+    asked = np.floor(queries @ planes.T / width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+            buckets = np.floor(rows @ planes.T / width)
+            met = np.zeros((len(keys), len(ids)), bool)
+            for t in range(tables):
+                met |= buckets[:, t, None] == asked[None, :, t]
+            sims = np.round((rows @ q.T) / np.maximum(np.linalg.norm(rows, axis=1), 1e-30)[:, None], 6)
+            yield best_rows(keys, np.where(met, sims, -3.0), ids, top).rename_columns(["query_id", "vec_id", "score"])
+
+    candidates = vectors.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return rows.select("query_id", "vec_id", sims.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
 def search(vectors: DataFrame, queries: np.ndarray, ids: list[int], top: int, backend: str = "auto") -> DataFrame:

@@ -12,8 +12,10 @@ from talweg.sources.html import visible_text
 
 #: The questions of the search queries: one repeats a word, one has an unknown word.
 QUESTIONS = ((1, "the thing and enble"), (2, "that that erst"), (3, "Nicht schein, der"), (4, "qué ciónez los"), (5, "xyzzy eau des"))
-#: The rows of embeddings that are searched for.
+#: The rows of embeddings that the exact search, its fusion and its cuts search for, as their SQL does.
 VECTORS = [0, 1, 2, 3, 4]
+#: The approximate search asks for every row whose id is divisible by this.
+EVERY = 50
 DAY = 86_400
 LIMITS = ((2, 3600), (3, DAY))
 
@@ -65,18 +67,19 @@ def bm25_topk(spark, sf_dir):
 
 def dense_topk(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings")
-    return dense.exact_topk(rows, dense.query_matrix(rows, VECTORS), VECTORS, retrieval.CANDIDATES)
+    ids, matrix = dense.named_rows(rows, VECTORS)
+    return dense.exact_topk(rows, matrix, ids, retrieval.CANDIDATES)
 
 
 def ann_topk(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings")
-    return dense.approximate_topk(rows, dense.query_matrix(rows, VECTORS), VECTORS, retrieval.CANDIDATES)
+    return dense.by_blocks(rows, EVERY, lambda ids, matrix: dense.approximate_topk(rows, matrix, ids, retrieval.CANDIDATES))
 
 
 def ann_recall(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings")
-    matrix = dense.query_matrix(rows, VECTORS)
-    return dense.recall(dense.exact_topk(rows, matrix, VECTORS, retrieval.TOP), dense.approximate_topk(rows, matrix, VECTORS, retrieval.TOP))
+    exact = dense.by_blocks(rows, EVERY, lambda ids, matrix: dense.exact_topk(rows, matrix, ids, retrieval.TOP))
+    return dense.recall(exact, dense.by_blocks(rows, EVERY, lambda ids, matrix: dense.approximate_topk(rows, matrix, ids, retrieval.TOP)))
 
 
 def l2_norm(spark, sf_dir):
@@ -86,7 +89,8 @@ def l2_norm(spark, sf_dir):
 
 def _two_rankings(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings")
-    found = dense.exact_topk(rows, dense.query_matrix(rows, VECTORS), VECTORS, retrieval.CANDIDATES)
+    ids, matrix = dense.named_rows(rows, VECTORS)
+    found = dense.exact_topk(rows, matrix, ids, retrieval.CANDIDATES)
     return found.select(F.lit(1).alias("query_id"), F.col("query_id").alias("source"), "rank", F.col("vec_id").alias("doc_id"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import text as T
 from talweg.operators import dense, fusion, lexical, retrieval
+from talweg.plans import queries
 
 CORPUS = [
     (0, "La cámara graba vídeo en 4K durante dos horas."),
@@ -78,6 +79,17 @@ def test_approximate_search_recalls_enough(spark):
     assert got.queries == 4 and got.recall >= 0.9
 
 
+def test_approximate_queries_ask_for_every_fiftieth_row(spark, tmp_path, monkeypatch):
+    rows = np.random.default_rng(3).normal(size=(260, 8))
+    df = vectors(spark, rows / np.linalg.norm(rows, axis=1, keepdims=True)).filter("vec_id != 4")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    assert {r.query_id for r in queries.ann_topk(spark, str(tmp_path)).collect()} == {0, 50, 100, 150, 200, 250}
+    got = queries.ann_recall(spark, str(tmp_path)).first()
+    assert got.queries == 6 and got.recall >= 0.9
+    assert {r.query_id for r in queries.dense_topk(spark, str(tmp_path)).collect()} == {0, 1, 2, 3}
+
+
 def test_fusion_prefers_what_both_lists_have(spark):
     rows = [(1, s, r, d) for s, ids in enumerate(([1, 7, 3], [2, 7, 4])) for r, d in enumerate(ids, 1)]
     fused = lexical.ranked(fusion.fuse(spark.createDataFrame(rows, "query_id int, source int, rank int, doc_id long")), 9).orderBy("rank").collect()
