@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +25,28 @@ def _accents() -> tuple[str, str]:
 ACCENTED, PLAIN = _accents()
 
 
+def _decomposed(text: str) -> str:
+    """Full compatibility decomposition without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def _fast() -> str:
+    """A character class of ASCII and those Latin letters and punctuation marks for which translation is the decomposition."""
+    table = str.maketrans(ACCENTED, PLAIN)
+    ranges: list[list[int]] = []
+    for code in (*range(0x250), *range(0x2010, 0x2028)):
+        if _decomposed(chr(code)) == chr(code).translate(table):
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+
+
+#: Texts that the translation of single letters doesn't serve.
+BEYOND = f"[^{_fast()}]"
+
+
 def strip(text: Column) -> Column:
     """Python's strip: white space of any kind, not only blanks."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -32,9 +56,28 @@ def without_accents(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, ACCENTED, PLAIN)).otherwise(text)
 
 
+@F.pandas_udf(StringType())
+def normalize_search_exact(texts: pd.Series) -> pd.Series:
+    """normalize_search() with full compatibility decomposition, for texts beyond the Latin letters."""
+    return texts.map(lambda t: re.sub(r"[^\w\s]|[\x1C-\x1F]", " ", _decomposed(t or "").lower()))
+
+
+@F.pandas_udf(StringType())
+def normalize_eval_exact(texts: pd.Series) -> pd.Series:
+    """normalize_eval() with full compatibility decomposition."""
+    return texts.map(lambda t: re.sub(r"\s+", " ", _decomposed(t or "")).strip().lower())
+
+
+def _chosen(text: Column, exact: Callable[[Column], Column], fast: Callable[[Column], Column]) -> Column:
+    """The exact form of texts beyond the fast one. Python is given null for all others."""
+    text = F.coalesce(text, F.lit(""))
+    beyond = text.rlike(r"[^\x00-\x7F]") & text.rlike(BEYOND)
+    return F.when(beyond, exact(F.when(beyond, text))).otherwise(fast(text))
+
+
 def normalize_search(text: Column) -> Column:
     """Lower case without accents; everything but letters, digits, underscores and white space becomes a space."""
-    return F.regexp_replace(F.lower(without_accents(F.coalesce(text, F.lit("")))), r"(?U)[^\w\s]", " ")
+    return _chosen(text, normalize_search_exact, lambda t: F.regexp_replace(F.lower(without_accents(t)), r"(?U)[^\w\s]", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -44,19 +87,7 @@ def tokens(text: Column) -> Column:
 
 def normalize_eval(text: Column) -> Column:
     """Lower case without accents and with single blanks; punctuation stays."""
-    return F.lower(strip(F.regexp_replace(without_accents(F.coalesce(text, F.lit(""))), r"(?U)\s+", " ")))
-
-
-@F.pandas_udf(StringType())
-def normalize_search_exact(texts: pd.Series) -> pd.Series:
-    """normalize_search() with full compatibility decomposition, for texts beyond the Latin letters."""
-    import regex
-
-    def one(text):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
-        return regex.sub(r"[^\w\s]", " ", plain.lower())
-
-    return texts.map(one)
+    return _chosen(text, normalize_eval_exact, lambda t: F.lower(strip(F.regexp_replace(without_accents(t), r"(?U)\s+", " "))))
 
 
 def first_line(text: Column, otherwise: Column) -> Column:

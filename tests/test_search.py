@@ -1,5 +1,8 @@
 """Lexical and dense search, fusion, cuts, reranking, retrieval."""
 
+import re
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +38,14 @@ def test_exact_normalizer_decomposes_compatibility_forms(spark):
     assert spark.createDataFrame([("ﬁn x²",)], "a string").select(T.normalize_search_exact("a").alias("a")).first().a == "fin x2"
 
 
+def test_texts_beyond_latin_letters_are_decomposed_fully(spark):
+    texts = ["cafe\u0301 mu\u0308de", "Tiếng Việt", "Άλφα ΟΔΟΣ", "ﬁn ½ x²", "ＡＢＣ　ｄ", "हिन्दी", "한글", "plain “Ñandú” — ß", "a\x1cb é\u0301", "ĳs ŉ ſ", None]
+    plain = ["".join(c for c in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(c)) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, a string").select("i", T.tokens(F.col("a")).alias("t"), T.normalize_eval(F.col("a")).alias("e")).orderBy("i").collect()
+    assert [r.t for r in rows] == [re.sub(r"[^\w\s]", " ", p.lower()).split() for p in plain]
+    assert [r.e for r in rows] == [re.sub(r"\s+", " ", p).strip().lower() for p in plain]
+
+
 def test_eval_form_keeps_punctuation(spark):
     assert spark.createDataFrame([("  Él   dijo:\n¡Sí! ",)], "a string").select(T.normalize_eval(F.col("a")).alias("a")).first().a == "el dijo: ¡si!"
 
