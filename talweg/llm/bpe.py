@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talweg.llm.common import as_bytes, map_arrow
-from talweg.llm.pieces import splitter
+from talweg.llm.pieces import spelled_out, splitter, tiktoken_classes
 
-#: Pre-tokens that a worker remembers; a bound on its memory, not on what it can encode.
-REMEMBERED = 1 << 19
+#: Pre-tokens that a worker remembers, and the characters that one of them may have: bounds on its memory, not on what it can encode.
+REMEMBERED, REMEMBERED_LENGTH = 1 << 18, 64
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -92,10 +92,13 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class Codec:
-    """Encodes and decodes texts as the rank file and the pattern say, without special tokens."""
+    """Encodes and decodes texts as the rank file and the pattern say, without special tokens.
+
+    The pattern's Unicode classes are spelled out as ranges on the driver, so every worker splits alike.
+    """
 
     def __init__(self, tokens: list[bytes], pattern: str):
-        self.tokens, self.pattern = tokens, pattern
+        self.tokens, self.pattern = tokens, spelled_out(pattern, tiktoken_classes())
         self.hash = PerfectHash(tokens)
         self.at = [0] * len(tokens)
         for i, slot in enumerate(self.hash.slots.tolist()):
@@ -153,21 +156,26 @@ class Codec:
                     push(heap, found << bits | h)
         return tuple([x for x in ids if x >= 0])
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Resolve pre-tokens that aren't remembered: the perfect hash first, the heap for its misses."""
+    def _resolved(self, pieces: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
+        """The ids of distinct pre-tokens: the perfect hash first, the heap for its misses."""
         raw = [p.encode() for p in pieces]
         for piece, token, slot in zip(pieces, raw, self.hash.find(raw)):
             i = self.at[slot]
-            self.known[piece] = (i,) if self.tokens[i] == token else self.merged(token)
+            yield piece, (i,) if self.tokens[i] == token else self.merged(token)
 
     def encode(self, text: str) -> list[int]:
         pieces = self.split(text)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [p for p in set(pieces) if p not in self.known]
-        if new:
-            self._learn(new)
-        return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+        if not new:
+            return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+        short = [p for p in new if len(p) <= REMEMBERED_LENGTH]
+        self.known.update(self._resolved(short))
+        if len(short) == len(new):
+            return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+        long = dict(self._resolved([p for p in new if len(p) > REMEMBERED_LENGTH]))
+        return list(chain.from_iterable(long[p] if p in long else self.known[p] for p in pieces))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -1,44 +1,72 @@
-"""Splitting texts into pre-tokens: Unicode classes in general, explicit ranges where a text is Latin."""
+"""Splitting texts into pre-tokens, with the Unicode classes that the tokenizers' own libraries have."""
 
 from __future__ import annotations
 
 import re
-import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
-import regex
+#: Characters that one probe of a library looks at.
+BLOCK = 2048
 
-#: Texts without characters beyond this one are split by ``re`` with explicit ranges, which is faster.
-LATIN_END = 0x24F
-BEYOND = re.compile(f"[^\\x00-{chr(LATIN_END)}]")
 
+def _blocks() -> Iterator[str]:
+    """Every character but surrogates, in blocks."""
+    codes = [*range(0xD800), *range(0xE000, 0x110000)]
+    return ("".join(map(chr, codes[i : i + BLOCK])) for i in range(0, len(codes), BLOCK))
 
-def _ranges(chosen: Callable[[str], bool]) -> str:
-    """The Latin characters of a class, as the inside of a bracket expression."""
-    picked = [c for c in range(LATIN_END + 1) if chosen(chr(c))]
+
+def _ranges(chars: Iterable[str]) -> str:
+    """Characters as the inside of a bracket expression."""
     runs: list[list[int]] = []
-    for c in picked:
+    for c in sorted(map(ord, chars)):
         if runs and runs[-1][1] == c - 1:
             runs[-1][1] = c
         else:
             runs.append([c, c])
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
-LETTERS = _ranges(lambda c: unicodedata.category(c)[0] == "L")
-NUMBERS = _ranges(lambda c: unicodedata.category(c)[0] == "N")
-SPACES = _ranges(lambda c: regex.match(r"\p{White_Space}", c) is not None)
+def _classes(matched: Callable[[str], Callable[[str], str]]) -> dict[str, str]:
+    """The classes L, N and white space as a library matches them: ``matched(pattern)(text)`` is what it finds in a text."""
+    found = {}
+    for name, pattern in (("L", r"\p{L}+"), ("N", r"\p{N}+"), ("S", r"\s+")):
+        find = matched(pattern)
+        found[name] = _ranges("".join(map(find, _blocks())))
+    return found
 
 
-def splitter(pattern: str) -> Callable[[str], list[str]]:
-    """findall of a pattern that uses the classes L and N, and white space, of Unicode."""
-    general = regex.compile(pattern).findall
-    narrow = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{SPACES}{LETTERS}{NUMBERS}]").replace(r"[\p{L}]", f"[{LETTERS}]").replace(r"[\p{N}]", f"[{NUMBERS}]")
-    narrow = narrow.replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", f"[{NUMBERS}]").replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]")
-    latin = re.compile(narrow).findall
-    beyond = BEYOND.search
+@lru_cache(maxsize=1)
+def tiktoken_classes() -> dict[str, str]:
+    import tiktoken
+
+    single = {bytes([b]): b for b in range(256)}
+
+    def matched(pattern: str) -> Callable[[str], str]:
+        library = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        return lambda text: bytes(library.encode_ordinary(text)).decode()
+
+    return _classes(matched)
+
 
-    def split(text: str) -> list[str]:
-        return general(text) if beyond(text) else latin(text)
+@lru_cache(maxsize=1)
+def tokenizers_classes() -> dict[str, str]:
+    from tokenizers import Regex, pre_tokenizers
 
-    return split
+    def matched(pattern: str) -> Callable[[str], str]:
+        library = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        return lambda text: "".join(piece for piece, _ in library.pre_tokenize_str(text))
+
+    return _classes(matched)
+
+
+def spelled_out(pattern: str, classes: dict[str, str]) -> str:
+    """A pattern that uses the classes L and N, and white space, with explicit ranges in their place."""
+    letters, numbers, spaces = classes["L"], classes["N"], classes["S"]
+    inside = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")
+    return inside.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """findall of a spelled-out pattern, the same for every text."""
+    return re.compile(pattern).findall

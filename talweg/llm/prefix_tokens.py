@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -19,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talweg.llm.common import as_bytes, map_arrow
-from talweg.llm.pieces import BEYOND, splitter
+from talweg.llm.pieces import spelled_out, splitter, tokenizers_classes
 
-#: Pre-tokens, and pairs of tokens, that a worker remembers: a bound on its memory only.
-REMEMBERED = 1 << 19
+#: Pre-tokens, and pairs of tokens, that a worker remembers, and the characters that such a pre-token may have: bounds on its memory only.
+REMEMBERED, REMEMBERED_LENGTH = 1 << 19, 64
 NEVER = 1 << 60
 
 
@@ -40,7 +39,7 @@ class PrefixCounter:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.spec = json.dumps({k: spec[k] for k in ("version", "truncation", "padding", "post_processor", "decoder", "normalizer", "pre_tokenizer")} | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}})
-        self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = spelled_out(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], tokenizers_classes())
         self.special = [t["content"] for t in spec["added_tokens"]]
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
@@ -151,10 +150,8 @@ class PrefixCounter:
         return [0, *(self._closed(word, i, last, count) for i in range(1, len(word) + 1))]
 
     def normal(self, text: str) -> str:
-        """NFC and lower case; white space stays, as it is dropped later."""
-        if BEYOND.search(text):
-            return self.normalizer.normalize_str(text)
-        return unicodedata.normalize("NFC", text).lower()
+        """The library's normal form; ASCII is lowered here, its white space stays, as it is dropped later."""
+        return text.lower() if text.isascii() else self.normalizer.normalize_str(text)
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
         """The text cut at the strings of special tokens, which count as one token each."""
@@ -169,16 +166,14 @@ class PrefixCounter:
     def _each(self, pieces: list[str]) -> list[int]:
         if len(self.counts) > REMEMBERED:
             self.counts.clear()
+        long = {}
         for piece in set(pieces):
             if piece not in self.counts:
-                self.counts[piece] = self.size(piece)
-        return list(map(self.counts.__getitem__, pieces))
-
-    def count(self, text: str) -> int:
-        """Tokens of the whole text."""
-        return sum(1 if special else sum(self._each(self.split(self.normal(part)))) for part, special in self.segments(text))
+                (self.counts if len(piece) <= REMEMBERED_LENGTH else long)[piece] = self.size(piece)
+        return [long[p] if p in long else self.counts[p] for p in pieces] if long else list(map(self.counts.__getitem__, pieces))
 
     def table(self, text: str) -> "PrefixTable":
+        """The counts at every prefix of a whole text."""
         pieces: list[str] = []
         counts: list[int] = []
         for part, special in self.segments(text):
@@ -187,6 +182,10 @@ class PrefixCounter:
             counts += [1] if special else self._each(own)
         return PrefixTable(self, pieces, list(accumulate(counts, initial=0)))
 
+    def count(self, text: str) -> int:
+        """Tokens of the whole text."""
+        return self.table(text).total()
+
 
 class PrefixTable:
     """The counts of one text at each of its prefixes; no question encodes anything again."""
@@ -222,9 +221,10 @@ def default_counter(path: str | None = None) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, counter: PrefixCounter, limit: int = 2048) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, n_bytes, n_tokens, over_limit), a row per row.
+    """docs (doc_id, text, ...) -> (doc_id, n_bytes, n_tokens, over_limit, n_within), a row per row.
 
-    Null and empty texts have no bytes and no tokens. Repeated rows come out repeatedly, an empty table gives
+    The text's prefix table answers all of it: its last count, and where the limit falls in it. n_within: tokens of
+    the longest run of whole leading pre-tokens within the limit. Null and empty texts have no bytes and no tokens. Repeated rows come out repeatedly, an empty table gives
     none, other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counter)  # the size of the vocabulary, whatever the corpus
@@ -233,7 +233,13 @@ def token_counts(docs: DataFrame, counter: PrefixCounter, limit: int = 2048) ->
         counter = shared.value
         for batch in batches:
             raw = as_bytes(batch.column(1))
-            counts = [counter.count(x.decode()) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+            totals, over, within = [], [], []
+            for x in raw:
+                table = counter.table(x.decode())
+                pieces, used = table.truncate(limit)
+                totals.append(table.total())
+                over.append(pieces < len(table.pieces))
+                within.append(used)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(totals, pa.int64()), pa.array(over, pa.bool_()), pa.array(within, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_within"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, n_within bigint")

@@ -54,13 +54,27 @@ def test_odd_texts(codec, library, counter, words, text):
     assert counter.count(text) == count(words, text)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1000, deadline=None)
 @given(text=st.text(max_size=40))
 def test_any_text(codec, library, counter, words, text):
     assert codec.encode(text) == library.encode_ordinary(text)
     assert counter.count(text) == count(words, text)
 
 
+def test_every_character_in_four_contexts(codec, library, counter, words):
+    codes = [*range(0xD800), *range(0xE000, 0x110000)]
+    texts = ["".join(f"º{x}~{x}'s {x} a{x}1\n" for x in map(chr, codes[i : i + 128])) for i in range(0, len(codes), 128)]
+    assert [t for t in texts if codec.encode(t) != library.encode_ordinary(t)] == []
+    assert [t for t, e in zip(texts, words.encode_batch(texts, add_special_tokens=False)) if counter.count(t) != len(e.ids)] == []
+
+
+def test_what_a_worker_remembers_is_bounded(codec, counter, library, words):
+    text = " ".join("xyz" * n for n in (1, 20, 30, 3000))
+    for _ in range(2):
+        assert codec.encode(text) == library.encode_ordinary(text) and counter.count(text) == count(words, text)
+    assert max(map(len, codec.known)) <= bpe.REMEMBERED_LENGTH and max(map(len, counter.counts)) <= prefix_tokens.REMEMBERED_LENGTH
+
+
 @settings(max_examples=100, deadline=None)
 @given(text=st.text(alphabet="abcdefghe naetio'rs,.ü", max_size=60), budget=st.integers(0, 12))
 def test_prefixes_answer_without_encoding(counter, words, text, budget):
@@ -83,6 +97,7 @@ def test_tables_of_the_operators(spark, codec, counter, library, words):
         ids = library.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
-    assert sorted(map(tuple, prefix_tokens.token_counts(df, counter, 3).collect()), key=str) == sorted([(i, len((t or "").encode()), count(words, t or ""), count(words, t or "") > 3) for i, t in rows], key=str)
+    assert all(r.n_within <= 3 and (r.n_within == r.n_tokens) != r.over_limit for r in prefix_tokens.token_counts(df, counter, 3).collect())
+    assert sorted((tuple(r)[:4] for r in prefix_tokens.token_counts(df, counter, 3).collect()), key=str) == sorted([(i, len((t or "").encode()), count(words, t or ""), count(words, t or "") > 3) for i, t in rows], key=str)
     assert [bytes(r.decoded).decode() for r in bpe.encode_texts(df.filter("doc_id = 5"), codec).collect()] == [ODD[5]]
     assert bpe.round_trips(df.limit(0), codec).count() == prefix_tokens.token_counts(df.limit(0), counter).count() == 0
