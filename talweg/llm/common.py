@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch sent to Python. Texts may be long, so batches stay small.
+#: Rows that a function sees at once. Spark bounds the bytes of the batches that it cuts these from.
 BATCH_ROWS = 256
-BATCH_BYTES = 16 << 20
 #: ASCII white space, as the contracts count it: space and the characters 9 to 13.
 BLANK = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -22,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where that setting is absent (local tests) a temporary one."""
+    """The folder that ``spark.checkpoint.dir`` names; only where that setting is absent, and in local mode, a temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="talweg-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -37,11 +38,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """``mapInArrow`` with batches that stay small however long the texts are."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    """``mapInArrow`` whose function sees few rows at once; the session's settings stay as they are."""
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.slice(at, rows) for batch in batches for at in range(0, max(batch.num_rows, 1), rows))
+
+    return df.mapInArrow(small, schema)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
