@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a function sees at once. Spark bounds the bytes of the batches that it cuts these from.
 BATCH_ROWS = 256
+#: Ids that are broadcast at most: 16 bytes each, and as much again for their table.
+BROADCAST_IDS = 1 << 21
 #: ASCII white space, as the contracts count it: space and the characters 9 to 13.
 BLANK = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -31,6 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -46,6 +54,16 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(small, schema)
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs semi- or anti-joined with distinct ids (__id), none of them null.
+
+    While the ids are few they are broadcast, after they have been counted, and texts stay where they are; more ids
+    than BROADCAST_IDS meet the texts in a shuffle by id.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].cast("bigint") == F.col("__id"), how)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

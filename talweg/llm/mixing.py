@@ -13,6 +13,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 #: No target is above so many times its source.
 MOST = 2
+#: Sources whose thresholds are broadcast at most. The rows of more sources are dealt by source and salt.
+BROADCAST_SOURCES = 100_000
+SALTS = 64
 #: A hash has HASH_BITS bits; a histogram looks at STRIDE of them.
 HASH_BITS = 60
 STRIDE = 10
@@ -27,6 +30,18 @@ def place(doc_id: Column, text: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, text, F.lit(6)), 64 - HASH_BITS)
 
 
+def with_sources(rows: DataFrame, sources: DataFrame, row_place: Column, how: str = "inner") -> DataFrame:
+    """rows (source, ...) joined with a few columns by source (__s), so that no source's rows meet in one task.
+
+    A broadcast behind a count; beyond it each source's row is repeated for every salt, and rows are salted by their place.
+    """
+    same = rows["source"].eqNullSafe(F.col("__s"))
+    if sources.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(sources), same, how)
+    salted = sources.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, same & (F.pmod(row_place, F.lit(SALTS)).cast("int") == F.col("__salt")), how).drop("__salt")
+
+
 def targets(sized: DataFrame) -> DataFrame:
     """rows (source, size) -> (source, source_size, target), a row per source.
 
@@ -75,10 +90,10 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         # sums that never exceed the need: everything is within it
         last = F.when(F.col("s").isNull() & F.col("bucket").isNull() & F.col("below").isNull(), F.lit(1 << HASH_BITS))
         state = materialize(joined.select("source", "source_size", "target", "copies", "need", F.coalesce("at", "acc").alias("acc"), F.coalesce("bucket", "prefix").alias("prefix"), F.coalesce("below", "cut", last).alias("below")))
-        undecided = state.filter("below IS NULL").select(F.col("source").alias("s"), "prefix")
+        undecided = state.filter("below IS NULL").select(F.col("source").alias("__s"), F.col("prefix").alias("__prefix"))
         if undecided.isEmpty():
             break
-        inside = inside.join(undecided, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("place", rest) == F.col("prefix")), "left_semi")
+        inside = with_sources(inside, undecided, F.col("place")).filter(F.shiftright("place", rest) == F.col("__prefix")).drop("__s", "__prefix")
     return state.select("source", "source_size", "target", "copies", "below")
 
 
@@ -99,15 +114,19 @@ def mix(docs: DataFrame) -> DataFrame:
     taken together. A source without words has target 0. An empty table gives no rows; other columns are ignored.
     """
     rows, found = plan(docs)
-    found = found.withColumnRenamed("source", "s")
-    met = rows.join(found, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
+    met = with_sources(rows, found.withColumnRenamed("source", "__s"), F.col("place")).withColumn("copies", _copies())
     return met.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: rows that are taken twice come twice, others once or not at all."""
+    """docs as the mix takes them: rows that are taken twice come twice, others once or not at all.
+
+    All columns stay. A null text has no words and comes as often as its place says; null is a source of its own; rows with
+    equal id and text share a place and a fate; an empty table gives no rows. Texts aren't shuffled.
+    """
     _, found = plan(docs)
     found = found.select(F.col("source").alias("__s"), F.col("copies").alias("__copies"), F.col("below").alias("__below"))
-    met = docs.join(found, docs["source"].eqNullSafe(F.col("__s")))
-    times = F.col("__copies") + (place(docs["doc_id"], docs["text"]) < F.col("__below")).cast("int")
+    own = place(docs["doc_id"], docs["text"])
+    met = with_sources(docs, found, own)
+    times = F.col("__copies") + (own < F.col("__below")).cast("int")
     return met.withColumn("__time", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*[docs[c] for c in docs.columns])
