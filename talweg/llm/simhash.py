@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm.common import as_bytes, map_arrow, materialize
+from talweg.llm.common import as_bytes, by_ids, map_arrow, materialize
 from talweg.llm.graph import connected_components
 
 SHINGLE = 3
@@ -190,10 +190,19 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs without near-copies: of each component the row with the smallest doc_id stays.
 
     Rows that share a doc_id share their fate, and equal ones among those that stay become one. Rows without
-    an id count as sharing one: all of them stay if a component has no row with an id.
+    an id count as sharing one: all of them stay if a component has no row with an id. Null and blank texts are
+    near-copies of each other. All columns stay, an empty table gives no rows. Only ids are shuffled while those that go
+    are few enough to be broadcast.
     """
     groups = near_groups(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    repeated = not groups.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return stay.dropDuplicates() if repeated else stay
+    by_id = materialize(groups.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("n")))
+    stay = by_ids(docs, by_id.filter("NOT stays AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")), "left_anti")
+    if not by_id.filter("NOT stays AND doc_id IS NULL").isEmpty():
+        stay = stay.filter("doc_id IS NOT NULL")
+    repeated = by_id.filter("stays AND n > 1").select(F.col("doc_id").alias("__id"))
+    if repeated.isEmpty():
+        return stay
+    named = repeated.filter("__id IS NOT NULL")
+    once = by_ids(stay.filter("doc_id IS NOT NULL"), named, "left_anti")
+    more = by_ids(stay, named, "left_semi").unionByName(stay.filter("doc_id IS NULL"))
+    return once.unionByName(more.dropDuplicates())

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talweg.llm import exact_dedup, mixing, rules, sharding
+from talweg.llm import common, exact_dedup, mixing, rules, sharding
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -57,14 +57,50 @@ def test_digests_of_different_texts_are_found(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "doc_id long, text string")
     groups = spark.createDataFrame([(hashlib.sha256(t.encode()).hexdigest(), 2) for t in "ab"], "digest string, n long")
     assert exact_dedup.unequal_digests(docs, groups).count() == 0
-    by_text = exact_dedup._assign_by_text(docs).collect()
+    by_text = exact_dedup._assign_by_text(docs, groups.select("digest")).collect()
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in by_text) == [(1, 1, True), (2, 2, True), (3, 2, False)]
 
 
-def test_one_of_each_text_stays_with_all_columns(spark):
+def without_broadcasts(monkeypatch):
+    """As if there were too many ids, keys or sources to broadcast."""
+    for module, name in ((common, "BROADCAST_IDS"), (exact_dedup, "BROADCAST_IDS"), (mixing, "BROADCAST_SOURCES")):
+        monkeypatch.setattr(module, name, -1)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_one_of_each_text_stays_with_all_columns(spark, few, monkeypatch):
+    if not few:
+        without_broadcasts(monkeypatch)
     rows = texts()
     out = exact_dedup.drop_copies(table(spark, rows))
-    assert out.columns == table(spark, rows).columns and out.count() == len({t for *_, t in plain_dedup(rows)})
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    least = {}
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        least.setdefault(norm(t), i)
+    assert out.columns == table(spark, rows).columns and sorted(((r.doc_id, norm(r.text)) for r in out.collect()), key=str) == sorted(((i, t) for t, i in least.items()), key=str)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_byte_check_with_and_without_broadcast(spark, few, monkeypatch):
+    if not few:
+        without_broadcasts(monkeypatch)
+    docs = spark.createDataFrame([(i, "same  text") for i in range(50)] + [(99, "other")], "doc_id long, text string")
+    groups = exact_dedup._grouped(exact_dedup.digested(docs))
+    assert exact_dedup.unequal_digests(docs, groups).count() == 0
+    assert {r.group_size for r in exact_dedup.assign(docs).collect()} == {50, 1}
+
+
+def test_a_stored_snapshot_screens_later_batches(spark, tmp_path):
+    rows = texts()
+    old, new = [r for r in rows if r[0] is not None and r[0] < 60], [r for r in rows if r[0] is None or r[0] >= 60]
+    path = str(tmp_path / "snapshot")
+    exact_dedup.Snapshot.write(exact_dedup.digested(table(spark, old)), path)
+    snapshot = exact_dedup.Snapshot(spark, path)
+    want = [x for x in plain_dedup(rows) if x[0] is None or x[0] >= 60]
+    for _ in range(2):  # it stays as it is
+        got = exact_dedup.assign_batch(table(spark, new), snapshot, table(spark, old)).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == want
+        assert not any(r.kept for r in got if r.keep_id is not None and r.keep_id < 60)
 
 
 def plain_targets(rows):
@@ -86,7 +122,10 @@ def plain_targets(rows):
     return sizes, target
 
 
-def test_mix_meets_targets(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_mix_meets_targets(spark, few, monkeypatch):
+    if not few:
+        without_broadcasts(monkeypatch)
     rng = random.Random(4)
     rows = [(i, "w " * rng.randrange(1, 30), rng.choice(["b", "b", "b", "a", "ä", "c", None])) for i in range(600)] + [(None, None, "a"), (None, "x y", "b"), (1, "w", "empty"), (3, "", "nothing")]
     got = mixing.mix(table(spark, rows)).collect()

@@ -2,12 +2,13 @@
 
 import random
 
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from talweg.llm import simhash
+from talweg.llm import common, simhash
 
 
 def plain_fingerprint(text):
@@ -94,7 +95,10 @@ def test_empty_table(spark):
     assert result(spark.createDataFrame([], "doc_id long, text string")) == []
 
 
-def test_one_of_each_group_stays(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_one_of_each_group_stays(spark, few, monkeypatch):
+    if not few:
+        monkeypatch.setattr(common, "BROADCAST_IDS", -1)
     text = " ".join(f"w{i}" for i in range(500))
     df = spark.createDataFrame([(3, text), (1, text + " z"), (1, text + " z"), (2, "other words here now"), (None, "alone and without id"), (None, text)], "doc_id long, text string")
     assert sorted((r.doc_id or 0 for r in simhash.drop_near_copies(df).collect())) == [0, 0, 1, 2]
