@@ -78,12 +78,23 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(id_text(doc_id).cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, *, folds: int, held: int, rows: int, max_bytes: int) -> DataFrame:
-    """At most about ``rows`` labelled documents (doc_id, text, y) outside the held-out fold.
+def spread(text: Column, seed: Column, most: int, parts: int = 4) -> Column:
+    """A text of up to ``most`` characters whole; a longer one as slices from all over it, without the words cut at their ends.
+
+    The text is dealt into equal parts; each gives one slice, at a place that the seed chooses.
+    """
+    size, n = most // parts, F.length(text)
+    move = F.pmod(F.xxhash64(seed, F.lit(23)), F.lit(1 << 20)) / F.lit(1 << 20)
+    starts = [F.floor((F.lit(k) + move) / parts * (n - size)).cast("int") + 1 for k in range(parts)]
+    slices = [F.regexp_replace(F.substring(text, at, F.lit(size)), r"^[^ \t-\r]*[ \t-\r]+|[ \t-\r]+[^ \t-\r]*$", "") for at in starts]
+    return F.when(n <= most, text).otherwise(F.array_join(F.array(*slices), "\n"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, *, folds: int, held: int, rows: int) -> DataFrame:
+    """At most about ``rows`` labelled documents (doc_id, text, y) outside the held-out fold, short or long.
 
     The labels are thinned by a hash of the id until ``rows`` remain, whatever their number, and only
     then meet the texts: the side that is broadcast is bounded by ``rows``, never by the corpus.
-    Texts longer than ``max_bytes`` are left out, which bounds what training reads as well.
     Labels without an id, and labels outside 0 and 1, teach nothing. A document that is labelled more than
     once counts with its largest label; a repeated document row counts once.
     """
@@ -91,5 +102,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, *, folds: i
     known = usable.count()
     share = min(1.0, rows / max(known, 1))
     thinned = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= max_bytes)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(thinned), "doc_id").dropDuplicates(["doc_id"])

@@ -15,13 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm.common import as_bytes, fold, labelled_sample, map_arrow
+from talweg.llm.common import as_bytes, fold, labelled_sample, map_arrow, spread
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: Documents that train the field at most, and bytes that one of them may have.
+#: Tokens with this marginal are in a span.
+IN_SPAN = 0.5
+#: Documents that train the field at most, and characters of one of them; of longer texts, slices from all over them train.
 TRAINING_ROWS = 5000
-TRAINING_BYTES = 12_000
+TRAINING_CHARS = 12_000
 #: Tokens of a training sequence, and of sequences together, beyond which those without labelled tokens are thinned.
 WINDOW = 24
 TRAINING_TOKENS = 72_000
@@ -58,6 +60,7 @@ class Field:
 
     def _ready(self) -> None:
         self.known: dict[str, float] = {}
+        self.powers: dict[int, tuple[float, float, float, float]] = {}
         # between tokens without features the states move by one matrix; its powers follow from its eigenvalues
         self.step = np.exp(self.pairs) * np.array([1.0, math.exp(self.bias)])
         values, vectors = np.linalg.eig(self.step)
@@ -155,36 +158,48 @@ class Field:
             self.known[token] = found
         return found
 
-    def _power(self, k: int) -> np.ndarray:
-        """The k-th power of the step matrix over that of its larger eigenvalue."""
-        return self.lasting + self.ratio**k * self.fading
+    def _power(self, k: int) -> tuple[float, float, float, float]:
+        """The k-th power of the step matrix over that of its larger eigenvalue, row by row."""
+        found = self.powers.get(k)
+        if found is None:
+            if len(self.powers) > REMEMBERED:
+                self.powers.clear()
+            found = self.powers[k] = tuple((self.lasting + self.ratio**k * self.fading).ravel().tolist())
+        return found
 
     def marginals(self, n: int, places: list[int], evidence: list[float]) -> list[float]:
-        """P(toxic) at the places of a sequence of n tokens that have evidence; the tokens between them have none.
+        """P(toxic) at places of a sequence of n tokens, all those with evidence among them.
 
         Exact forward-backward: a run of k tokens without evidence is one multiplication by the k-th power.
         """
-        row = np.array([1.0, math.exp(self.bias)])  # the first token's states, without evidence
+        clean, toxic = 1.0, math.exp(self.bias)  # the first token's states, without evidence
+        gains = [math.exp(max(-30.0, min(30.0, x))) for x in evidence]
         ahead = []
         at = 0
-        for p, x in zip(places, evidence):
-            row = row @ self._power(p - at)
-            row = row * np.array([1.0, math.exp(max(-30.0, min(30.0, x)))])
-            row = row / row.sum()
-            ahead.append(row)
+        for p, gain in zip(places, gains):
+            cc, ct, tc, tt = self._power(p - at)
+            clean, toxic = clean * cc + toxic * tc, (clean * ct + toxic * tt) * gain
+            total = clean + toxic
+            clean, toxic = clean / total, toxic / total
+            ahead.append((clean, toxic))
             at = p
-        column = self._power(n - 1 - at) @ np.ones(2)
+        cc, ct, tc, tt = self._power(n - 1 - at)
+        clean, toxic = cc + ct, tc + tt  # from here on, what follows each state
         out = []
         for i in range(len(places) - 1, -1, -1):
-            both = ahead[i] * column
-            out.append(float(both[1] / both.sum()))
+            x, y = ahead[i][0] * clean, ahead[i][1] * toxic
+            out.append(y / (x + y))
             if i:
-                column = self._power(places[i] - places[i - 1]) @ (np.array([1.0, math.exp(max(-30.0, min(30.0, evidence[i])))]) * column)
-                column = column / column.sum()
+                cc, ct, tc, tt = self._power(places[i] - places[i - 1])
+                toxic *= gains[i]
+                clean, toxic = cc * clean + ct * toxic, tc * clean + tt * toxic
+                total = clean + toxic
+                clean, toxic = clean / total, toxic / total
         return out[::-1]
 
     def tag(self, text: str) -> tuple[float, list[int], list[float]]:
-        """The largest marginal of a text's tokens, and the places and marginals of the tokens with evidence."""
+        """The largest marginal of a text's tokens, and places and marginals: of the tokens with evidence, and of all tokens around
+        those inside a span, until the spans end among them."""
         tokens = TOKEN.findall(text)
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -197,8 +212,15 @@ class Field:
         rest = float(self.lasting[1, 1])  # P(toxic) far from any evidence
         if not len(places):
             return (rest if tokens else 0.0), [], []
-        found = self.marginals(len(tokens), places.tolist(), values[places].tolist())
-        return max(rest, max(found)), places.tolist(), found
+        reach = 1
+        while True:
+            found = self.marginals(len(tokens), places.tolist(), values[places].tolist())
+            inside = places[np.array(found) >= IN_SPAN]
+            around = (inside[:, None] + np.arange(-reach, reach + 1)).ravel()
+            wider = np.union1d(places, around[(around >= 0) & (around < len(tokens))])
+            if len(wider) == len(places) or not len(inside):
+                return max(rest, max(found)), places.tolist(), found
+            places, reach = wider, 2 * reach
 
     def score(self, largest: float) -> float:
         """The document's score: its largest marginal, calibrated on the labels of the training documents."""
@@ -207,7 +229,7 @@ class Field:
 
     def spans(self, text: str, places: list[int], marginals: list[float]) -> list[dict]:
         """Runs of neighbouring tokens with a marginal of one half or more, as character offsets."""
-        chosen = {p: m for p, m in zip(places, marginals) if m >= 0.5}
+        chosen = {p: m for p, m in zip(places, marginals) if m >= IN_SPAN}
         found: list[dict] = []
         if chosen:
             before = -2
@@ -287,18 +309,20 @@ def windows(texts: list[list[str]], tags: list[list[int]]) -> list[tuple[list[st
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """Learns from a bounded sample of labelled documents outside the held-out fold; without any, scores are low."""
-    sample = labelled_sample(docs, labels, "toxic", folds=FOLDS, held=HELD_OUT, rows=TRAINING_ROWS, max_bytes=TRAINING_BYTES)
-    rows = sorted((r.doc_id, r.text, r.y) for r in sample.select(F.col("doc_id").cast("bigint"), "text", "y").collect())
+    sample = labelled_sample(docs, labels, "toxic", folds=FOLDS, held=HELD_OUT, rows=TRAINING_ROWS)
+    cut = sample.select(F.col("doc_id").cast("bigint"), spread(F.col("text"), F.col("doc_id"), TRAINING_CHARS).alias("t"), "y", (F.length("text") <= TRAINING_CHARS).alias("whole"))
+    rows = sorted((r.doc_id, r.t, r.y, r.whole) for r in cut.collect())
     field = Field()
-    toxic = [y for *_, y in rows]
+    toxic = [y for *_, y, _ in rows]
     if not any(toxic):
         return field
-    texts = [TOKEN.findall(t) for _, t, _ in rows]
+    texts = [TOKEN.findall(r[1]) for r in rows]
     chosen = windows(texts, token_labels(texts, toxic))
     if not chosen:
         return field
     field.fit(chosen)
-    calibrate(field, [field.tag(t)[0] for _, t, _ in rows], toxic)
+    whole = [r for r in rows if r[3]] or rows  # a slice may lack the words that its text is labelled for
+    calibrate(field, [field.tag(r[1])[0] for r in whole], [r[2] for r in whole])
     return field
 
 
@@ -337,18 +361,21 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scores by a field trained on labels, with the fold of each document and the predicted label."""
+    """Scores by a field trained on labels, with the fold of each document, the predicted label and the spans as JSON."""
     rows = tag(docs, train(docs, labels))
-    return rows.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return rows.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.to_json("spans").alias("spans"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those predicted toxic; all columns stay. The verdict is made row by row, without a join."""
+    """docs without those predicted toxic; all columns stay. The verdict is made row by row, without a join.
+
+    Null and empty texts have no tokens and stay. Rows without an id are judged like others, repeated rows share their
+    verdict, an empty table gives no rows.
+    """
     field = train(docs, labels)
 
     @F.pandas_udf("double")
     def largest(texts):
         return texts.map(lambda t: field.score(field.tag(t or "")[0]))
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return docs.filter(largest(docs["text"]) < THRESHOLD)

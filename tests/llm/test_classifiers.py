@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talweg.llm import quality, toxicity, urls
+from talweg.llm import common, quality, toxicity, urls
 
 
 def corpus(seed=1, n=700):
@@ -103,6 +103,87 @@ def test_attention_learns_from_the_passage_that_matters():
     assert ((scores > 0.5) == np.array(labels[300:])).mean() > 0.9
 
 
+def plain_score(model, bag):
+    """The forward pass of one document, passage by passage."""
+    p, n = model.p, len(bag)
+    h = [[math.tanh(sum(x[i] * p["W"][i, j] for i in range(len(x))) + p["b"][j]) for j in range(quality.HIDDEN)] for x in bag]
+    along = lambda m, row, k: sum(row[j] * p[m][j, k] for j in range(quality.HIDDEN))
+    a = [sum(p["w"][k] * math.tanh(along("V", row, k)) / (1 + math.exp(-along("U", row, k))) for k in range(quality.ATTENTION)) for row in h]
+    total = sum(math.exp(x) for x in a)
+    weights = [math.exp(x) / total for x in a]
+    z = [sum(weights[i] * h[i][j] for i in range(n)) for j in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(c * x for c, x in zip(p["c"], z)) + p["d"][0]))), weights
+
+
+def test_attention_is_that_of_a_plain_loop_and_its_gradients_those_of_differences():
+    rng = np.random.default_rng(4)
+    model = quality.AttentionModel(7)
+    bags = [rng.normal(size=(n, quality.FEATURES)) for n in (1, 3, 2)]
+    labels = np.array([1.0, 0.0, 1.0])
+    scores, weights = model.score(bags)
+    plain = [plain_score(model, b) for b in bags]
+    assert scores == pytest.approx([s for s, _ in plain]) and weights == pytest.approx([w for _, ws in plain for w in ws])
+    x, starts = np.concatenate(bags), np.array([0, 1, 4])
+
+    def loss():
+        logit = model._forward(x, starts)["logit"]
+        return np.mean(np.log1p(np.exp(logit)) - labels * logit)
+
+    found = model.gradients(x, starts, labels)
+    for name, value in model.p.items():
+        for at in [tuple(rng.integers(s) for s in value.shape) for _ in range(6)]:
+            kept = value[at]
+            value[at] = kept + 1e-5
+            up = loss()
+            value[at] = kept - 1e-5
+            down = loss()
+            value[at] = kept
+            assert np.asarray(found[name])[at] == pytest.approx((up - down) / 2e-5, abs=1e-7)
+
+
+def test_hashed_triples_are_those_of_a_plain_loop():
+    text = b"Abc de. " * 70 + b"Xyz"
+    words = text.split()
+    got = quality.passages(text)[:, -quality.HASHED :]
+    joined = b" " + b" ".join(words).lower() + b" "
+    owner = [k // quality.PASSAGE for k, w in enumerate(words) for _ in range(len(w) + 1)]
+    want = np.zeros((owner[-1] + 1, quality.HASHED))
+    n = np.zeros(len(want))
+    for i in range(len(joined) - 2):
+        h = (int.from_bytes(joined[i : i + 3], "little") * 0x9E3779B1 % (1 << 32) >> 16) % (2 * quality.HASHED)
+        want[owner[i], h % quality.HASHED] += 1 if h < quality.HASHED else -1
+        n[owner[i]] += 1
+    assert got == pytest.approx(want / np.sqrt(n)[:, None], abs=1e-5)
+
+
+def test_training_takes_slices_of_long_texts_and_one_label_a_document(spark):
+    words = " ".join(f"w{i}" for i in range(9000))
+    docs = spark.createDataFrame([(i, words if i % 2 else "short text") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, 0) for i in range(40) for y in (0, 1)] + [(1, 1, None)], "doc_id long, quality int, toxic int")
+    sample = common.labelled_sample(docs, labels, "quality", folds=5, held=0, rows=1000)
+    rows = sample.select("doc_id", "y", common.spread(F.col("text"), F.col("doc_id"), 4000).alias("t")).collect()
+    assert {r.y for r in rows} == {1} and {r.doc_id for r in rows} == {i for i in range(40) if zlib.crc32(str(i).encode()) % 5}
+    for r in rows:
+        parts = r.t.split("\n")
+        assert (r.t == "short text") if r.doc_id % 2 == 0 else len(r.t) <= 4004 and all(f" {p} " in f" {words} " for p in parts)
+    quarters = [int(r.t.split()[-1][1:]) for r in rows if r.doc_id % 2]
+    assert min(quarters) > 9000 / 2  # the end of a text is reached
+
+
+def test_spans_run_through_tokens_without_evidence():
+    field = toxicity.Field()
+    field.pairs, field.bias = np.array([[2.0, -2.0], [-2.0, 3.0]]), -0.5
+    field.weights = {"=bad": 4.0}
+    field._ready()
+    text = "so it was bad and bad to me " + "fine " * 30
+    largest, places, marginals = field.tag(text)
+    assert [text[s["start"] : s["end"]] for s in field.spans(text, places, marginals)][0].count("bad") == 2
+    tokens = toxicity.TOKEN.findall(text)
+    everywhere = field.marginals(len(tokens), list(range(len(tokens))), [field.evidence(t) for t in tokens])
+    assert marginals == pytest.approx([everywhere[p] for p in places]) and {p for p, m in enumerate(everywhere) if m >= 0.5} <= set(places)
+    assert largest == pytest.approx(max(everywhere))
+
+
 PAGES = ["http://a.com/x", "https://WWW.Example.com/en/1?x=1", "https://sub.www.example.com/en/", "http://example.com/en/2", "http://m.example.com/de/2", "http://x.net/es/1", "http://x.net/fr/", "http://x.net/en/1", "http://x.org/en/1", "http://com/", "http://notexample.com/en/", None, "", "nourl", "a://b?c", "x://y://z/w", "http://é.net/es/q#f"]
 
 
