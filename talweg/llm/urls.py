@@ -17,8 +17,13 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Words that label a URL for training: 1 (to block) if its host contains one of them, else 0.
-BLOCKED_WORDS = ("casino", "poker", "bets", "betting", "pills", "viagra", "adult", "porn", "xxx", "spam", "ads", "track", "malware", "phish", "torrent", "warez")
+#: A part of a host, between dots and hyphens, that is one of these words labels a URL as one to block for
+#: training. Gambling, medicine by mail, adult content, advertising and tracking, malware and fraud, piracy, loans.
+BLOCKED_WORDS = (
+    "casino", "poker", "bet", "bets", "betting", "roulette", "slots", "jackpot", "bingo", "lottery", "pills", "pharmacy", "viagra", "cialis", "adult", "porn",
+    "sex", "xxx", "escort", "camgirls", "spam", "ads", "adserver", "banner", "popup", "track", "tracker", "tracking", "clickbait", "malware", "phishing",
+    "virus", "scam", "hack", "keygen", "crack", "warez", "torrent", "torrents", "payday", "loans", "replica",
+)
 #: At most about so many labelled URLs train the trees.
 TRAINING_ROWS = 20_000
 BINS = 16
@@ -27,8 +32,6 @@ DEPTH = 3
 RATE = 0.4
 #: A leaf has so many labelled URLs at least.
 LEAST_ROWS = 8
-#: Gradients are summed as whole numbers of this unit, so that the sums don't depend on their order.
-UNIT = 1 << 20
 
 
 def host(url: Column) -> Column:
@@ -85,18 +88,19 @@ FEATURES = ("f_length", "f_host_length", "f_labels", "f_hyphens", "f_depth", "f_
 
 
 class Trees:
-    """Boosted trees over binned features, as expressions."""
+    """Boosted trees over binned features: grown from counts on the driver, scored as expressions."""
 
-    def __init__(self, cuts: dict[str, list[float]], suffixes: dict[str, float], prior: float):
-        self.cuts, self.suffixes, self.prior = cuts, suffixes, prior
+    def __init__(self, prior: float, cuts: dict[str, list[float]], suffixes: DataFrame | None = None):
+        self.prior, self.cuts, self.suffixes = prior, cuts, suffixes
         self.trees: list[dict] = []
 
-    def suffix_rate(self) -> Column:
-        """The smoothed part of blocked URLs among the labelled ones of the suffix; of all for an unknown one."""
-        rate = F.lit(None).cast("double")
-        for name, value in self.suffixes.items():
-            rate = F.when(F.col("suffix") == name, F.lit(value)).otherwise(rate)
-        return F.coalesce(rate, F.lit(self.prior))
+    def with_suffix_rate(self, rows: DataFrame) -> DataFrame:
+        """Adds f_suffix: the smoothed part of URLs to block among the labelled ones of the suffix; of all for an unknown one."""
+        if self.suffixes is None:
+            return rows.withColumn("f_suffix", F.lit(self.prior))
+        rates = self.suffixes.select(F.col("suffix").alias("__suffix"), "rate")
+        met = rows.join(F.broadcast(rates), F.col("suffix") == F.col("__suffix"), "left")  # the sample's suffixes, TRAINING_ROWS at most
+        return met.withColumn("f_suffix", F.coalesce("rate", F.lit(self.prior))).drop("__suffix", "rate")
 
     def bins(self) -> list[Column]:
         """How many cuts are below each feature."""
@@ -111,7 +115,7 @@ class Trees:
     def value(node: dict) -> Column:
         if "leaf" in node:
             return F.lit(node["leaf"])
-        return F.when(F.col(f"b{node['feature'][1:]}") <= node["bin"], Trees.value(node["low"])).otherwise(Trees.value(node["high"]))
+        return F.when(F.col(f"b{FEATURES[node['feature']][1:]}") <= node["bin"], Trees.value(node["low"])).otherwise(Trees.value(node["high"]))
 
     def margin(self) -> Column:
         out = F.lit(math.log(self.prior / (1 - self.prior)))
@@ -119,93 +123,97 @@ class Trees:
             out = out + self.value(tree)
         return out
 
-
-def _leaf(node: dict) -> Column:
-    if "leaf" in node:
-        return F.lit(node["name"])
-    return F.when(F.col(f"b{node['feature'][1:]}") <= node["bin"], _leaf(node["low"])).otherwise(_leaf(node["high"]))
+    def grow(self, counted: list[tuple[tuple[int, ...], int, int]]) -> "Trees":
+        """counted: (bins, label, number of such URLs). Each tree fits the gradients that the former ones leave."""
+        counted = sorted(counted)
+        margins = [math.log(self.prior / (1 - self.prior))] * len(counted)
+        for _ in range(TREES):
+            graded = []
+            for (bins, label, n), m in zip(counted, margins):
+                p = 1 / (1 + math.exp(-m))
+                graded.append((bins, n * (label - p), n * p * (1 - p), n))
+            tree = node_of(graded, DEPTH)
+            self.trees.append(tree)
+            margins = [m + leaf_of(tree, bins) for m, (bins, *_) in zip(margins, counted)]
+        return self
+
+
+def leaf_of(node: dict, bins: tuple[int, ...]) -> float:
+    while "leaf" not in node:
+        node = node["low"] if bins[node["feature"]] <= node["bin"] else node["high"]
+    return node["leaf"]
+
+
+def node_of(rows: list[tuple[tuple[int, ...], float, float, int]], depth: int) -> dict:
+    """A leaf, or the split that gains most of rows (bins, gradient, curvature, number); ties go to the first feature and bin."""
+    g, h, n = (sum(r[i] for r in rows) for i in (1, 2, 3))
+    best = (1e-6, 0, 0)
+    for feature in range(len(FEATURES)) if depth else ():
+        sums: dict[int, list[float]] = {}
+        for bins, a, b, c in rows:
+            at = sums.setdefault(bins[feature], [0.0, 0.0, 0])
+            at[0] += a
+            at[1] += b
+            at[2] += c
+        a = b = c = 0
+        for cut in sorted(sums)[:-1]:
+            a, b, c = a + sums[cut][0], b + sums[cut][1], c + sums[cut][2]
+            if min(c, n - c) >= LEAST_ROWS:
+                gain = a * a / (b + 1) + (g - a) ** 2 / (h - b + 1) - g * g / (h + 1)
+                best = max(best, (gain, -feature, -cut))
+    if best == (1e-6, 0, 0):
+        return {"leaf": RATE * g / (h + 1)}
+    feature, cut = -best[1], -best[2]
+    low, high = [r for r in rows if r[0][feature] <= cut], [r for r in rows if r[0][feature] > cut]
+    return {"feature": feature, "bin": cut, "low": node_of(low, depth - 1), "high": node_of(high, depth - 1)}
 
 
 def train(labelled: DataFrame) -> Trees:
     """labelled (host, path, url, label 0/1), of bounded size, -> trees.
 
-    The rows are binned and counted once; each level of a tree is one aggregation of gradients by leaf, feature
-    and bin, and the driver sees these sums only (leaves x features x bins). No labels, or one kind only, gives the prior.
+    Rows are binned and counted by Spark; the driver collects these counts, TRAINING_ROWS at most, and grows the trees. No
+    labels, or one kind only, give the prior.
     """
     rows = features(labelled)
-    by_suffix = rows.groupBy("suffix").agg(F.sum("label").alias("y"), F.count("*").alias("n")).orderBy(F.desc("n"), "suffix").limit(64).collect()  # statistics of the most frequent suffixes; the others share the prior
-    totals = rows.agg(F.sum("label").alias("y"), F.count("*").alias("n")).first()
-    prior = ((totals.y or 0) + 0.5) / (totals.n + 1)
-    known = {r.suffix: (r.y + 20 * prior) / (r.n + 20) for r in by_suffix}
-    model = Trees({}, known, prior)
-    rows = rows.withColumn("f_suffix", model.suffix_rate())
+    sums = materialize(rows.groupBy("suffix").agg(F.sum("label").alias("y"), F.count("*").alias("n")))
+    totals = sums.agg(F.sum("y").alias("y"), F.sum("n").alias("n")).first()
+    prior = ((totals.y or 0) + 0.5) / ((totals.n or 0) + 1)
+    model = Trees(prior, {}, sums.select("suffix", ((F.col("y") + 20 * prior) / (F.col("n") + 20)).alias("rate")))
+    rows = model.with_suffix_rate(rows)
     quantiles = [k / BINS for k in range(1, BINS)]
     cuts = rows.agg(*[F.percentile(f, F.array(*map(F.lit, quantiles))).alias(f) for f in FEATURES]).first()
     model.cuts = {f: sorted(set(cuts[f] or [])) for f in FEATURES}
     binned = [f"b{f[1:]}" for f in FEATURES]
-    counted = materialize(rows.select(*model.bins(), "label").groupBy(*binned, "label").agg(F.count("*").alias("n")))
-    for _ in range(TREES):
-        p = 1 / (1 + F.exp(-model.margin()))
-        graded = counted.withColumn("g", F.round((F.col("label") - p) * UNIT).cast("bigint") * F.col("n")).withColumn("h", F.round(p * (1 - p) * UNIT).cast("bigint") * F.col("n"))
-        if model.trees:
-            graded = materialize(graded)
-        root: dict = {"leaf": 0.0, "name": "r"}
-        growing = [root]
-        for level in range(DEPTH + 1):
-            spread = graded.withColumn("leaf", _leaf(root)).select("leaf", "n", "g", "h", F.posexplode(F.array(*binned)).alias("feature", "bin"))
-            names = {x["name"]: x for x in growing}
-            sums: dict[str, dict[int, dict[int, tuple[int, int, int]]]] = {}
-            for r in spread.filter(F.col("leaf").isin(*names)).groupBy("leaf", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).collect():
-                sums.setdefault(r.leaf, {}).setdefault(r.feature, {})[r.bin] = (r.g, r.h, r.n)
-            growing = []
-            for name, by_feature in sorted(sums.items()):
-                growing += _split(names[name], by_feature, level == DEPTH)
-            if not growing:
-                break
-        model.trees.append(root)
-    return model
-
-
-def _split(node: dict, by_feature: dict, last: bool) -> list[dict]:
-    """Give a node its value and, unless it is of the last level, the split that gains most; returns its halves."""
-    g, h, n = (sum(x[i] for x in by_feature[0].values()) for i in range(3))
-    node["leaf"] = RATE * g / (h + UNIT)
-    if last:
-        return []
-    best = (1e-6, -1, -1)
-    for feature, by_bin in sorted(by_feature.items()):
-        a = b = c = 0
-        for at in sorted(by_bin)[:-1]:
-            a, b, c = a + by_bin[at][0], b + by_bin[at][1], c + by_bin[at][2]
-            if min(c, n - c) >= LEAST_ROWS:
-                gain = (a * a / (b + UNIT) + (g - a) ** 2 / (h - b + UNIT) - g * g / (h + UNIT)) / UNIT
-                best = max(best, (gain, -feature, -at))
-    if best[1] == -1 and best[2] == -1 and best[0] <= 1e-6:
-        return []
-    del node["leaf"]
-    halves = [{"leaf": 0.0, "name": node["name"] + side} for side in "01"]
-    node |= {"feature": FEATURES[-best[1]], "bin": -best[2], "low": halves[0], "high": halves[1]}
-    return halves
+    counted = rows.select(*model.bins(), "label").groupBy(*binned, "label").agg(F.count("*").alias("n")).collect()
+    return model.grow([(tuple(r[f] for f in binned), r.label, r.n) for r in counted])
+
+
+def sampled(labelled: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+    """At most about ``rows`` of the labelled URLs, chosen by a hash of the url; a repeated url comes with all its rows or none."""
+    share = min(1.0, rows / max(1, labelled.count()))
+    place = F.pmod(F.xxhash64("url", F.lit(10)), F.lit(1 << 20))
+    return labelled.filter(place < int(share * (1 << 20))) if share < 1 else labelled
 
 
-def word_labels(urls: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """Labelled URLs out of urls (url, host, path): at most about ``rows``, chosen by a hash of the url."""
-    known = urls.filter(F.col("host") != "").select("url", "host", "path").withColumn("label", F.col("host").rlike("|".join(BLOCKED_WORDS)).cast("int"))
-    share = min(1.0, rows / max(1, known.count()))
-    return known.filter(F.pmod(F.xxhash64("url", F.lit(10)), F.lit(1 << 20)) < int(share * (1 << 20)))
+def word_labels(urls: DataFrame) -> DataFrame:
+    """Labels for URLs (url, host, path) with a host: 1 if one of its parts is a word of BLOCKED_WORDS, else 0."""
+    parts = F.split("host", r"[.-]")
+    blocked = F.arrays_overlap(parts, F.array(*map(F.lit, BLOCKED_WORDS)))
+    return urls.filter(F.col("host") != "").select("url", "host", "path", blocked.cast("int").alias("label"))
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> DataFrame:
     """pages (page_id, url, ...) -> (page_id, host, path, rule, verdict, score), a row per row.
 
     The longest rule that fits decides; else the trees block from a score of 0.5 on. ``labelled`` (url, label)
-    trains them; without it the words of BLOCKED_WORDS label a bounded sample of the urls themselves. Null urls and
+    trains them; without it the words of BLOCKED_WORDS label the urls themselves. Either way a bounded sample trains. Labels
+    outside 0 and 1 teach nothing. Null urls and
     urls without '://' have no host and no path and are judged by the trees like any other. Repeated rows come
     out repeatedly; an empty table gives none; other columns are ignored.
     """
     urls = pages.select("page_id", "url").withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
-    known = word_labels(urls) if labelled is None else labelled.select("url", F.col("label").cast("int").alias("label"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    model = train(known)
-    seen = features(urls).withColumn("f_suffix", model.suffix_rate()).select("page_id", "host", "path", *model.bins())
+    known = word_labels(urls) if labelled is None else labelled.select("url", F.col("label").cast("int").alias("label"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).filter("label IN (0, 1)")
+    model = train(sampled(known))
+    seen = model.with_suffix_rate(features(urls)).select("page_id", "host", "path", *model.bins())
     scored = seen.withColumn("score", 1 / (1 + F.exp(-model.margin()))).withColumn("by", matched_rule(F.col("host"), F.col("path"), rules))
     return scored.select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.coalesce("by.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")

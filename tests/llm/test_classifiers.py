@@ -213,6 +213,77 @@ def test_rules_and_parts(spark):
         assert r.verdict in ("allow", "block") and (rule is None or r.verdict == rule[0])
 
 
+def plain_tree(rows, depth):
+    """The best split by trying every one, on (bins, label share of the gradient, curvature, number)."""
+    g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    gains = {}
+    for f in range(len(urls.FEATURES)):
+        for cut in sorted({r[0][f] for r in rows})[:-1]:
+            low, high = [r for r in rows if r[0][f] <= cut], [r for r in rows if r[0][f] > cut]
+            if min(sum(r[3] for r in low), sum(r[3] for r in high)) >= urls.LEAST_ROWS:
+                part = lambda x: sum(r[1] for r in x) ** 2 / (sum(r[2] for r in x) + 1)
+                gains[f, cut] = part(low) + part(high) - part(rows)
+    if not depth or not gains or max(gains.values()) <= 1e-6:
+        return {"leaf": urls.RATE * g / (h + 1)}, None
+    return None, gains
+
+
+def test_trees_split_where_brute_force_gains_most():
+    rng = random.Random(7)
+    counted = [(tuple(rng.randrange(4) for _ in urls.FEATURES), rng.randrange(2), rng.randrange(1, 5)) for _ in range(150)]
+    counted = [(b, int(b[3] > 1 and b[5] < 3 or y and b[0] == 0), n) for b, y, n in counted]
+    prior = 0.3
+    model = urls.Trees(prior, {}).grow(counted)
+    margins = {i: math.log(prior / (1 - prior)) for i in range(len(counted))}
+    counted = sorted(counted)
+
+    def walk(node, rows, depth):
+        leaf, gains = plain_tree(rows, depth)
+        if leaf:
+            assert node["leaf"] == pytest.approx(leaf["leaf"])
+            return
+        assert gains[node["feature"], node["bin"]] == pytest.approx(max(gains.values()))
+        walk(node["low"], [r for r in rows if r[0][node["feature"]] <= node["bin"]], depth - 1)
+        walk(node["high"], [r for r in rows if r[0][node["feature"]] > node["bin"]], depth - 1)
+
+    assert len(model.trees) == urls.TREES
+    for tree in model.trees:
+        p = {i: 1 / (1 + math.exp(-m)) for i, m in margins.items()}
+        walk(tree, [(b, n * (y - p[i]), n * p[i] * (1 - p[i]), n) for i, (b, y, n) in enumerate(counted)], urls.DEPTH)
+        margins = {i: m + urls.leaf_of(tree, counted[i][0]) for i, m in margins.items()}
+
+
+def test_scores_are_those_of_the_trees_over_plain_bins(spark):
+    hosts = ["casino-win.com", "blog.example.org", "downloads.example.com", "trackandfield.org", "my-bets.net", "é.net"]
+    pages = [(i, f"http://{h}/{'x' * (i % 7)}?a={i}") for i, h in enumerate(hosts * 12)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    parts = df.withColumn("host", urls.host(F.col("url"))).withColumn("path", urls.path(F.col("url")))
+    labels = {r.host: r.label for r in urls.word_labels(parts).collect()}
+    assert labels == {"casino-win.com": 1, "blog.example.org": 0, "downloads.example.com": 0, "trackandfield.org": 0, "my-bets.net": 1, "é.net": 0}
+    model = urls.train(urls.sampled(urls.word_labels(parts)))
+    rows = model.with_suffix_rate(urls.features(parts)).collect()
+    for r in rows:
+        host = r.host
+        shares = [host.count(c) / len(host) for c in set(host)]
+        assert (r.f_length, r.f_host_length, r.f_labels, r.f_hyphens) == (len(r.url), len(host), host.count(".") + 1, host.count("-"))
+        assert r.f_entropy == pytest.approx(-sum(s * math.log2(s) for s in shares)) and r.f_parameters == 1
+    bins = {r.page_id: tuple(sum(r[f] > c for c in model.cuts[f]) for f in urls.FEATURES) for r in rows}
+    for r in urls.judge(df).collect():
+        margin = math.log(model.prior / (1 - model.prior)) + sum(urls.leaf_of(t, bins[r.page_id]) for t in model.trees)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-margin)))
+
+
+def test_long_repeated_and_badly_labelled_urls(spark):
+    long = "http://a-b.example.org/" + "x" * 200_000 + "?y"
+    df = spark.createDataFrame([(1, long), (1, long), (2, "http://x.org/")], "page_id long, url string")
+    got = urls.judge(df).collect()
+    assert len(got) == 3 and {len(r.path) for r in got if r.page_id == 1} == {200_001}
+    labelled = spark.createDataFrame([("http://x.org/", 7), ("http://x.org/", None), (None, 1)], "url string, label int")
+    assert urls.judge(df, labelled).count() == 3
+    many = spark.range(60_000).selectExpr("concat('http://h', id, '.org/') AS url", "CAST(id % 2 AS int) AS label")
+    assert 15_000 < urls.sampled(many).count() < 25_000
+
+
 def test_trees_separate_labelled_urls(spark):
     rng = random.Random(2)
     rows = [(f"http://{'-'.join(rng.choices(['win', 'big', 'now'], k=3)) + str(rng.randrange(99)) if bad else rng.choice(['blog', 'news', 'wiki'])}.org/{rng.randrange(99)}", int(bad)) for bad in (rng.random() < 0.4 for _ in range(300))]
