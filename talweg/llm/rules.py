@@ -14,13 +14,24 @@ SYMBOLS = "[#*$%&|<>]"
 #: A line fails if more than this share of its characters are symbols or repeated exclamation and question marks ...
 MOST_SYMBOL_PERCENT = 10
 NOISE = r"[#*$%&|<>{}\\~^=]|!!|\?\?"
-#: ... or if it is navigation: short, and begins with or consists of menu words ...
-NAVIGATION = r"(?i)^[ \t]*(home|menu|login|log in|sign in|sign up|register|search|share|print|next|previous|back to top|skip to content|read more|click here|contact us|about us|sitemap)([ \t]*([|>»/·-][^\n]*)?)?$"
+#: ... or if it is navigation: short, and begins with or consists of menu words of the corpus's languages ...
+NAVIGATION = (
+    r"(?iu)\A[ \t]*(home|menu|login|log in|sign in|sign up|register|search|share|print|next|previous|back to top|skip to content|read more|click here|contact us|about us|sitemap"
+    r"|startseite|menü|anmelden|registrieren|suche|teilen|drucken|weiter|zurück|nach oben|zum inhalt springen|weiterlesen|mehr lesen|kontakt|über uns|impressum"
+    r"|accueil|connexion|se connecter|inscription|rechercher|partager|imprimer|suivant|précédent|haut de page|aller au contenu|lire la suite|nous contacter|à propos|plan du site"
+    r"|inicio|menú|iniciar sesión|registrarse|buscar|compartir|imprimir|siguiente|anterior|volver arriba|ir al contenido|leer más|contáctenos|quiénes somos|mapa del sitio)"
+    r"([ \t]*([|>»/·-][^\n]*)?)?[ \t\r]*\z"
+)
 #: ... or is a bar of links: so many separators at least, and one for every three words or separators ...
 SEPARATORS = "[|»›•]"
 LEAST_SEPARATORS = 4
-#: ... or if it is boilerplate: legal and technical notices.
-BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie(s| policy)|copyright ?(\(c\)|©)|©|subscribe to our|lorem ipsum|javascript|licensed under|permission is hereby granted)"
+#: ... or if it is boilerplate: legal and technical notices in these languages.
+BOILERPLATE = (
+    r"(?iu)(all rights reserved|terms of (use|service)|privacy policy|cookie(s| policy)|copyright ?(\(c\)|©)|©|subscribe to our|lorem ipsum|javascript|licensed under|permission is hereby granted"
+    r"|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|allgemeine geschäftsbedingungen|newsletter abonnieren"
+    r"|tous droits réservés|conditions générales|politique de confidentialité|mentions légales|abonnez-vous"
+    r"|todos los derechos reservados|términos y condiciones|política de privacidad|aviso legal|suscríbase)"
+)
 #: Without the failed lines, a document keeps at least this share of its words.
 LEAST_KEPT_PERCENT = 70
 
@@ -155,8 +166,8 @@ WITH d AS (
   SELECT r, list_filter(ls, lambda x: NOT (
       100 * len(regexp_extract_all(x, '[#*$%&|<>{}\\~^=]|!!|\?\?')) > 10 * length(x)
       OR len(regexp_extract_all(x, '[|»›•]')) >= 4 AND 3 * len(regexp_extract_all(x, '[|»›•]')) >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
-      OR regexp_matches(x, '(?i)^[ \t]*(home|menu|login|log in|sign in|sign up|register|search|share|print|next|previous|back to top|skip to content|read more|click here|contact us|about us|sitemap)([ \t]*([|>»/·-][^\n]*)?)?$')
-      OR regexp_matches(x, '(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie(s| policy)|copyright ?(\(c\)|©)|©|subscribe to our|lorem ipsum|javascript|licensed under|permission is hereby granted)'))) AS ok
+      OR regexp_matches(x, '(?i)\A[ \t]*(home|menu|login|log in|sign in|sign up|register|search|share|print|next|previous|back to top|skip to content|read more|click here|contact us|about us|sitemap|startseite|menü|anmelden|registrieren|suche|teilen|drucken|weiter|zurück|nach oben|zum inhalt springen|weiterlesen|mehr lesen|kontakt|über uns|impressum|accueil|connexion|se connecter|inscription|rechercher|partager|imprimer|suivant|précédent|haut de page|aller au contenu|lire la suite|nous contacter|à propos|plan du site|inicio|menú|iniciar sesión|registrarse|buscar|compartir|imprimir|siguiente|anterior|volver arriba|ir al contenido|leer más|contáctenos|quiénes somos|mapa del sitio)([ \t]*([|>»/·-][^\n]*)?)?[ \t\r]*\z')
+      OR regexp_matches(x, '(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie(s| policy)|copyright ?(\(c\)|©)|©|subscribe to our|lorem ipsum|javascript|licensed under|permission is hereby granted|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|allgemeine geschäftsbedingungen|newsletter abonnieren|tous droits réservés|conditions générales|politique de confidentialité|mentions légales|abonnez-vous|todos los derechos reservados|términos y condiciones|política de privacidad|aviso legal|suscríbase)'))) AS ok
   FROM s
 ), b AS (
   SELECT s.r, doc_id, CAST(len(w) AS BIGINT) AS n_words,

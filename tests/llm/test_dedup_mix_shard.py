@@ -204,6 +204,21 @@ def test_lines_that_fail_go_and_documents_that_lose_too_much(spark):
     assert got[1].clean_text == good and got[1].kept and not got[2].kept and got[3].clean_text == good
 
 
+def test_line_ends_and_languages(spark):
+    duckdb = pytest.importorskip("duckdb")
+    good = " ".join(f"word{i}" for i in range(60))
+    menus = ["home\r", "Home | About\r", "MENÜ", "à propos\r", "Iniciar Sesión", "Zurück » Weiter", "home again\r", "Kontaktlinsen", "Suche\x0b", "ALLE RECHTE VORBEHALTEN.\r", "Política de Privacidad", "\u017fuche"]
+    rows = [(i, f"{good}\r\n{m}\n", "s") for i, m in enumerate(menus)] + [(90, "\r\n\r\n", "s"), (91, None, "s")]
+    got = {r.doc_id: r for r in rules.clean(table(spark, rows)).collect()}
+    assert [m for i, m in enumerate(menus) if m in got[i].clean_text] == ["home again\r", "Kontaktlinsen", "Suche\x0b"]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    want = db.execute(rules.ORACLE_SQL).fetchall()
+    names = [c[0] for c in db.description]
+    assert sorted(want) == sorted(tuple(got[w[0]][n] for n in names) for w in want)
+
+
 @pytest.mark.parametrize("run", [exact_dedup.assign, mixing.mix, mixing.mixed_documents, sharding.shard, rules.clean, exact_dedup.drop_copies])
 def test_empty_tables(spark, run):
     assert run(table(spark, [])).count() == 0
