@@ -1,72 +1,57 @@
-"""Visible text of HTML, as an expression and exactly."""
+"""Visible text of HTML, by a real parser: every named and numeric reference is decoded."""
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from talweg.functions.text import strip
-
 #: Fixed lists: elements whose content is not text, and those that begin a line.
 IGNORED = ("script", "style", "head")
 VOID = ("meta", "link")
 BLOCKS = ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6")
-#: Entities that the expression knows; the parser knows all.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-
-
-def visible_text(html: Column) -> Column:
-    """Pieces between tags, stripped, joined by one blank; block tags are line breaks among the pieces."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
-    for name in IGNORED:
-        text = F.regexp_replace(text, rf"(?is)<{name}(\s[^>]*)?>.*?</{name}\s*>", "\x01")
-    text = F.regexp_replace(text, rf"(?is)</?({'|'.join(BLOCKS)})(\s[^>]*)?/?>", "\x01\x02\x01")
-    text = F.regexp_replace(text, r"(?s)<[!/a-zA-Z][^>]*>", "\x01")
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    pieces = F.filter(F.transform(F.split(text, "\x01"), strip), lambda x: x != "")
-    return strip(F.replace(F.array_join(pieces, " "), F.lit("\x02"), F.lit("\n")))
-
-
-class _Visible(HTMLParser):
-    def __init__(self, strict_void: bool):
-        super().__init__()
-        self.pieces: list[str] = []
-        self.hidden = 0
-        self.hiding = set(IGNORED) | (set(VOID) if strict_void else set())
 
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in self.hiding
-        self._block(tag)
+OPEN, CLOSE, TEXT = 1, -1, 0
 
-    def handle_startendtag(self, tag, attrs):
-        self._block(tag)
 
-    def handle_endtag(self, tag):
-        self.hidden -= tag in self.hiding and self.hidden > 0
-        self._block(tag)
+class _Events(HTMLParser):
+    """What the parser meets, in order; a tag that closes itself is an opening and a closing one."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.met: list[tuple[int, str]] = []
 
-    def _block(self, tag):
-        if tag in BLOCKS:
-            self.pieces.append("\n")
+    def handle_starttag(self, tag, attrs):
+        self.met.append((OPEN, tag))
+
+    def handle_endtag(self, tag):
+        self.met.append((CLOSE, tag))
 
     def handle_data(self, data):
-        if not self.hidden and data.strip():
-            self.pieces.append(data.strip())
+        self.met.append((TEXT, data))
+
 
+def parsed_text(html: str | None, strict_void: bool = False) -> str:
+    """Pieces of text outside ignored elements, stripped, and the line breaks of block tags, joined by one blank.
 
-def parsed_text(html: str, strict_void: bool = False) -> str:
-    """By a real parser. strict_void: meta and link hide what follows them, as unclosed elements."""
-    parser = _Visible(strict_void)
+    strict_void: meta and link hide what follows them, as unclosed elements. Null is an empty text.
+    """
+    parser = _Events()
     parser.feed(html or "")
     parser.close()
-    return " ".join(parser.pieces).strip()
+    hiding = IGNORED + VOID if strict_void else IGNORED
+    # how many ignored elements are open after each event; a closing tag without its opening one closes nothing
+    depth = accumulate((kind if tag in hiding else 0 for kind, tag in parser.met), lambda n, step: max(n + step, 0), initial=0)
+    next(depth)
+    pieces = ["\n" if kind and value in BLOCKS else "" if kind or hidden else value.strip() for (kind, value), hidden in zip(parser.met, depth)]
+    return re.sub(r"\n{3,}", "\n\n", " ".join(filter(None, pieces))).strip()
 
 
 @F.pandas_udf(StringType())
-def visible_text_exact(html: pd.Series) -> pd.Series:
+def visible_text(html: pd.Series) -> pd.Series:
+    """parsed_text() of a column."""
     return html.map(parsed_text)
