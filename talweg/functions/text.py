@@ -81,8 +81,12 @@ def normalize_search(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The words of the search form, repeats included."""
-    return F.filter(F.split(normalize_search(text), r"(?U)\s+"), lambda t: t != "")
+    """The words of the search form, repeats included: runs of letters, digits and underscores."""
+    text = F.coalesce(text, F.lit(""))
+    plain = ~text.rlike(r"[^\x00-\x7F]")
+    beyond = ~plain & text.rlike(BEYOND)
+    found = F.when(plain, F.split(F.lower(text), "[^a-z0-9_]+")).when(beyond, F.split(normalize_search_exact(F.when(beyond, text)), r"(?U)\s+"))
+    return F.filter(found.otherwise(F.split(F.lower(without_accents(text)), r"(?U)\W+")), lambda t: t != "")
 
 
 def normalize_eval(text: Column) -> Column:

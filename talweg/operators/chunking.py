@@ -44,6 +44,19 @@ def section_at(found: Column, offset: Column) -> Column:
     return F.try_element_at(F.filter(found, lambda s: s["start"] <= offset), F.lit(-1))["title"]
 
 
+def asof_rows(found: DataFrame, offsets: Column) -> DataFrame:
+    """(doc_id, s: sections, ...) -> (doc_id, start, section): the last title at or before each offset, or null.
+
+    Titles and offsets become the rows of one sort by document and place; the text isn't among them.
+    """
+    titles = F.transform("s", lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("asked"), x["title"].alias("title")))
+    asked = F.transform(offsets, lambda i: F.struct(i.alias("start"), F.lit(1).alias("asked"), F.lit(None).cast("string").alias("title")))
+    rows = found.select("doc_id", F.inline(F.concat(titles, asked)))
+    before = Window.partitionBy("doc_id").orderBy("start", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("section", F.last("title", ignorenulls=True).over(before)).filter("asked = 1")
+    return met.select("doc_id", F.col("start").cast("bigint").alias("start"), "section")
+
+
 def page_at(pages: Column, offset: Column) -> Column:
     """As-of lookup in array<struct<start, page>>: the last page that starts at or before an offset; 1 without any."""
     return F.coalesce(F.try_element_at(F.filter(pages, lambda p: p["start"] <= offset), F.lit(-1))["page"], F.lit(1))

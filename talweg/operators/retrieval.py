@@ -23,8 +23,8 @@ def dense_topk(queries: DataFrame, docs: DataFrame, top: int, dimensions: int =
     """(query_id, text), (doc_id, text) -> (query_id, doc_id, score, rank): cosine of the offline embeddings.
 
     The questions are the caller's and become a matrix on the driver. Each batch of documents is one matrix
-    product that keeps its best rows, so what is shuffled grows with the batches and the questions only. Pairs
-    without a common bucket have no score.
+    product; a task keeps its best rows, so what is shuffled grows with the tasks and the questions only. Pairs
+    without a common bucket have no score. Ids of documents are whole numbers or strings.
     """
     asked: dict[int, np.ndarray] = {}
     for r in hashed(queries, "query_id", dimensions).collect():
@@ -32,20 +32,21 @@ def dense_topk(queries: DataFrame, docs: DataFrame, top: int, dimensions: int =
     ids = sorted(asked)
     matrix = np.array([asked[i] for i in ids]).reshape(len(ids), dimensions)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
         for batch in batches:
-            if not batch.num_rows or not ids:
-                continue
-            lists = batch.column(1)
-            of = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            counts = np.bincount(of * dimensions + lists.flatten().to_numpy(zero_copy_only=False), minlength=len(lists) * dimensions).reshape(-1, dimensions)
-            sims = np.round(counts @ matrix.T / np.maximum(np.sqrt((counts * counts).sum(axis=1)), 1e-30)[:, None], 6)
-            yield best_rows(batch.column(0).to_numpy(zero_copy_only=False), sims, ids, top, above=0.0)
+            if batch.num_rows and ids:
+                lists = batch.column(1)
+                of = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                counts = np.bincount(of * dimensions + lists.flatten().to_numpy(zero_copy_only=False), minlength=len(lists) * dimensions).reshape(-1, dimensions)
+                yield batch.column(0), np.round(counts @ matrix.T / np.maximum(np.sqrt((counts * counts).sum(axis=1)), 1e-30)[:, None], 6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from best_rows(scored(batches), ids, top, above=0.0)
 
-    placed = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), F.transform(tokens(F.col("text")), lambda t: bucket(t, dimensions)).alias("b"))
-    found = placed.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
-    kind = queries.schema["query_id"].dataType
-    return ranked(found, top).withColumn("query_id", F.col("query_id").cast(kind))
+    key = docs.schema["doc_id"].dataType
+    placed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.transform(tokens(F.col("text")), lambda t: bucket(t, dimensions)).alias("b"))
+    found = placed.mapInArrow(run, f"query_id bigint, doc_id {key.simpleString()}, score double")
+    return ranked(found, top).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
 
 
 def cosines(pairs: DataFrame, queries: DataFrame, docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -78,3 +79,10 @@ def retrieve(queries: DataFrame, docs: DataFrame, mode: str = "hybrid", *, top:
         return rows
     final = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc_id"))
     return rows.withColumn("rank", final).filter(F.col("rank") <= top)
+
+
+def retrieve_chunks(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", **limits) -> DataFrame:
+    """retrieve() over chunks (doc, chunk_no, text, ...): (query_id, rank, score) with all columns of the chunks found."""
+    named = chunks.withColumn("doc_id", F.concat(F.col("doc"), F.lit("#"), F.lpad(F.col("chunk_no").cast("string"), 10, "0")))
+    found = retrieve(queries, named.select("doc_id", "text"), mode, **limits)
+    return named.join(found, "doc_id").select("query_id", "rank", "score", *chunks.columns)

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from hashlib import sha256
+
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from talweg.functions import text as T
 from talweg.functions.vectors import l2_normalized
 from talweg.operators import admission, catalog, chunking, context, dense, evaluation, fusion, indexing, lexical, retrieval, sessions, validation
+from talweg.session import shared_folder, table
 from talweg.sources.html import visible_text
 
 #: The questions of the search queries: one repeats a word, one has an unknown word.
 QUESTIONS = ((1, "the thing and enble"), (2, "that that erst"), (3, "Nicht schein, der"), (4, "qué ciónez los"), (5, "xyzzy eau des"))
-#: The rows of embeddings that the exact search, its fusion and its cuts search for, as their SQL does.
-VECTORS = [0, 1, 2, 3, 4]
-#: The approximate search asks for every row whose id is divisible by this.
+#: The vector searches ask for every row whose id is divisible by this, against all rows.
 EVERY = 50
 DAY = 86_400
 LIMITS = ((2, 3600), (3, DAY))
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_t = table
 
 
 def _docs(spark, sf_dir):
@@ -65,21 +65,30 @@ def bm25_topk(spark, sf_dir):
     return lexical.bm25(_questions(spark), _docs(spark, sf_dir), retrieval.TOP)
 
 
-def dense_topk(spark, sf_dir):
+def _exact(spark, sf_dir, top):
     rows = _t(spark, sf_dir, "embeddings")
-    ids, matrix = dense.named_rows(rows, VECTORS)
-    return dense.exact_topk(rows, matrix, ids, retrieval.CANDIDATES)
+    return dense.by_blocks(rows, EVERY, lambda ids, matrix: dense.exact_topk(rows, matrix, ids, top))
 
 
-def ann_topk(spark, sf_dir):
+def _approximate(spark, sf_dir, top):
     rows = _t(spark, sf_dir, "embeddings")
-    return dense.by_blocks(rows, EVERY, lambda ids, matrix: dense.approximate_topk(rows, matrix, ids, retrieval.CANDIDATES))
+    index = dense.CodeIndex.ready(rows, f"{shared_folder(spark)}/codes-{sha256(sf_dir.encode()).hexdigest()[:16]}")
+    return dense.by_blocks(rows, EVERY, lambda ids, matrix: index.topk(rows, matrix, ids, top))
+
+
+def dense_topk(spark, sf_dir):
+    return _exact(spark, sf_dir, retrieval.CANDIDATES)
+
+
+def ann_topk(spark, sf_dir):
+    return _approximate(spark, sf_dir, retrieval.CANDIDATES)
 
 
 def ann_recall(spark, sf_dir):
-    rows = _t(spark, sf_dir, "embeddings")
-    exact = dense.by_blocks(rows, EVERY, lambda ids, matrix: dense.exact_topk(rows, matrix, ids, retrieval.TOP))
-    return dense.recall(exact, dense.by_blocks(rows, EVERY, lambda ids, matrix: dense.approximate_topk(rows, matrix, ids, retrieval.TOP)))
+    """Recall at 4, and the part of the rows that are scored by their vectors."""
+    rows = _t(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull()).agg(F.count("*").alias("n"))
+    found = dense.recall(_exact(spark, sf_dir, retrieval.TOP), _approximate(spark, sf_dir, retrieval.TOP))
+    return found.crossJoin(F.broadcast(rows)).select("recall", "queries", F.least(F.lit(1.0), F.lit(dense.SHORTLIST * retrieval.TOP) / F.col("n")).alias("scored"))  # one row
 
 
 def l2_norm(spark, sf_dir):
@@ -88,10 +97,7 @@ def l2_norm(spark, sf_dir):
 
 
 def _two_rankings(spark, sf_dir):
-    rows = _t(spark, sf_dir, "embeddings")
-    ids, matrix = dense.named_rows(rows, VECTORS)
-    found = dense.exact_topk(rows, matrix, ids, retrieval.CANDIDATES)
-    return found.select(F.lit(1).alias("query_id"), F.col("query_id").alias("source"), "rank", F.col("vec_id").alias("doc_id"))
+    return dense_topk(spark, sf_dir).select(F.lit(1).alias("query_id"), F.col("query_id").alias("source"), "rank", F.col("vec_id").alias("doc_id"))
 
 
 def rrf_fusion(spark, sf_dir):
@@ -174,8 +180,9 @@ def section_titles(spark, sf_dir):
 
 def asof_section(spark, sf_dir):
     """The section at every 500th character."""
-    rows = _docs(spark, sf_dir).filter(F.length("text") > 0).select("doc_id", chunking.sections(F.col("text")).alias("s"), F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(500))).alias("start"))
-    return rows.select("doc_id", F.col("start").cast("bigint").alias("start"), chunking.section_at(F.col("s"), F.col("start")).alias("section"))
+    found = _docs(spark, sf_dir).filter(F.length("text") > 0).select("doc_id", F.length("text").alias("n"), chunking.sections(F.col("text")).alias("s"))
+    return chunking.asof_rows(found, F.sequence(F.lit(0), F.col("n") - 1, F.lit(500)))
+
 
 
 def units(spark, sf_dir):

@@ -81,24 +81,61 @@ def test_exact_search_is_the_brute_force_one(spark):
     assert [r.vec_id for r in found] == best.ravel().tolist()
 
 
-def test_approximate_search_recalls_enough(spark):
+def test_approximate_search_recalls_enough_and_prunes(spark, tmp_path):
     rng = np.random.default_rng(2)
-    rows = rng.normal(size=(200, 8))
-    df = vectors(spark, rows / np.linalg.norm(rows, axis=1, keepdims=True))
-    q = dense.query_matrix(df, [0, 1, 2, 3])
-    got = dense.recall(dense.exact_topk(df, q, [0, 1, 2, 3], 4), dense.approximate_topk(df, q, [0, 1, 2, 3], 4)).first()
-    assert got.queries == 4 and got.recall >= 0.9
-
-
-def test_approximate_queries_ask_for_every_fiftieth_row(spark, tmp_path, monkeypatch):
+    rows = rng.normal(size=(600, 40))
+    df = vectors(spark, rows).unionByName(spark.createDataFrame([(9000, None), (9001, [0.0] * 40)], "vec_id long, embedding array<float>"))
+    index = dense.CodeIndex.ready(df, str(tmp_path / "codes"))
+    assert index.codes().count() == 601 and index.shortlist(rows[:4], [0, 1, 2, 3], 40).count() == 160
+    exact, found = dense.exact_topk(df, rows[:4], [0, 1, 2, 3], 4), index.topk(df, rows[:4], [0, 1, 2, 3], 4)
+    got = dense.recall(exact, found).first()
+    assert got.queries == 4 and got.recall >= 0.9 and found.columns == exact.columns
+    assert {(r.query_id, r.vec_id, r.score) for r in found.collect()} <= {(r.query_id, r.vec_id, r.score) for r in dense.exact_topk(df, rows[:4], [0, 1, 2, 3], 600).collect()}
+
+
+def test_stored_codes_are_used_again_while_the_rows_are_the_same(spark, tmp_path):
+    path = tmp_path / "codes"
+    rows = np.random.default_rng(5).normal(size=(30, 8))
+    files = lambda: sorted(p.name for p in (path / "codes").iterdir())
+    dense.CodeIndex.ready(vectors(spark, rows), str(path))
+    before = files()
+    dense.CodeIndex.ready(vectors(spark, rows), str(path))
+    assert files() == before
+    rows[3] *= -1
+    dense.CodeIndex.ready(vectors(spark, rows), str(path))
+    assert files() != before
+    assert dense.search(vectors(spark, rows), rows[:1], [0], 2, "approximate", str(path)).count() == 2
+    empty = vectors(spark, rows).filter("vec_id < 0")
+    assert dense.CodeIndex.ready(empty, str(tmp_path / "none")).topk(empty, rows[:1], [0], 3).count() == 0
+    with pytest.raises(ValueError):
+        dense.search(empty, rows[:1], [0], 2, "other")
+
+
+def test_backends_are_compared(spark, tmp_path):
+    df = vectors(spark, np.random.default_rng(6).normal(size=(300, 16)))
+    got = dense.compared(df, str(tmp_path / "codes"), asked=10, repeats=1)
+    assert got["exact"]["recall"] == 1.0 and got["approximate"]["recall"] >= 0.9 and all(x["ms_per_query"] > 0 for x in got.values())
+
+
+def test_vector_queries_ask_for_every_fiftieth_row(spark, tmp_path, monkeypatch):
     rows = np.random.default_rng(3).normal(size=(260, 8))
-    df = vectors(spark, rows / np.linalg.norm(rows, axis=1, keepdims=True)).filter("vec_id != 4")
+    df = vectors(spark, rows / np.linalg.norm(rows, axis=1, keepdims=True)).filter("vec_id != 100")
     df.write.parquet(f"{tmp_path}/embeddings.parquet")
     monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
-    assert {r.query_id for r in queries.ann_topk(spark, str(tmp_path)).collect()} == {0, 50, 100, 150, 200, 250}
+    asked = {0, 50, 150, 200, 250}
+    assert {r.query_id for r in queries.ann_topk(spark, str(tmp_path)).collect()} == asked
     got = queries.ann_recall(spark, str(tmp_path)).first()
-    assert got.queries == 6 and got.recall >= 0.9
-    assert {r.query_id for r in queries.dense_topk(spark, str(tmp_path)).collect()} == {0, 1, 2, 3}
+    assert got.queries == 5 and got.recall >= 0.9 and got.scored < 0.2
+    assert {r.query_id for r in queries.dense_topk(spark, str(tmp_path)).collect()} == asked
+
+
+def test_ties_go_to_the_smaller_key_across_batches():
+    import pyarrow as pa
+
+    parts = [(pa.array([9, 5]), np.array([[0.5], [0.5]])), (pa.array([1, 7]), np.array([[0.5], [0.9]]))]
+    assert [b.column(1).to_pylist() for b in dense.best_rows(parts, [3], 3)] == [[7, 1, 5]]
+    named = [(pa.array(["b", "a"]), np.array([[0.5], [0.5]]))]
+    assert [b.column(1).to_pylist() for b in dense.best_rows(named, [3], 1)] == [["a"]]
 
 
 def test_fusion_prefers_what_both_lists_have(spark):
@@ -142,3 +179,11 @@ def test_hybrid_rows_have_scores_and_lexical_ones_none(spark, docs):
     assert hybrid and all(r.score is not None for r in hybrid) and hybrid[0].doc_id == 1
     lexical_ = retrieval.retrieve(ask(spark, "batería modelo básico"), docs, "lexical").collect()
     assert lexical_[0].doc_id == 1 and all(r.score is None for r in lexical_)
+
+
+def test_chunks_are_retrieved_with_their_provenance(spark):
+    rows = [(f"doc{i}", 0, t, i) for i, t in CORPUS] + [("doc1", 1, "Otra cosa del modelo.", 2)]
+    chunks = spark.createDataFrame(rows, "doc string, chunk_no int, text string, page int")
+    for mode in ("lexical", "dense", "hybrid"):
+        found = retrieval.retrieve_chunks(ask(spark, "batería modelo básico"), chunks, mode).orderBy("rank").collect()
+        assert (found[0].doc, found[0].chunk_no, found[0].page) == ("doc1", 0, 1)

@@ -20,10 +20,13 @@ def docx(*paragraphs):
     return buffer.getvalue()
 
 
-def test_html_expression_and_parser_agree(spark):
-    row = spark.createDataFrame([(PAGE,)], "h string").select(html.visible_text(F.col("h")).alias("a"), html.visible_text_exact("h").alias("b")).first()
-    assert row.a.split() == row.b.split() == ["Hola", "&", "mundo", "Fin"]
+def test_html_text(spark):
+    assert spark.createDataFrame([(PAGE,), (None,)], "h string").select(html.visible_text("h").alias("t")).collect()[0].t.split() == ["Hola", "&", "mundo", "Fin"]
     assert html.parsed_text("<meta charset=x><p>a</p>", strict_void=True) == "" and html.parsed_text("<meta charset=x><p>a</p>") == "a"
+    assert html.parsed_text("&copy; &middot; &eacute;&#8217;&#x41; &nosuch; &amp;lt; a&nbsp;b &lt;p&gt;") == "© · é’A &nosuch; &lt; a\xa0b <p>"
+    assert html.parsed_text("a<br/>b<br>c<!-- x -->d</div></script>e") == "a \n \n b \n c d \n e"
+    assert html.parsed_text("<style>x<style>y</style>z</style>w") == "z w" and html.parsed_text("<script>never closed") == "" == html.parsed_text(None)
+    assert html.parsed_text("<pre>a\n\n\n\nb</pre>") == "a\n\nb"
 
 
 def test_files_of_every_kind(spark, tmp_path):
