@@ -23,6 +23,10 @@ class Admission:
         self.limits = sorted(limits, key=lambda x: x[1])
         self.admitted = deque(admitted)
 
+    def forget(self) -> None:
+        """As if the key had never asked."""
+        self.admitted.clear()
+
     def ask(self, now: float) -> int:
         """0 if admitted, else the seconds to wait. The shortest window that is full decides."""
         while self.admitted and now - self.admitted[0] > self.limits[-1][1]:

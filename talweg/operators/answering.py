@@ -6,6 +6,7 @@ import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,19 +39,36 @@ def with_retry(call: Callable, *args, tries: int = TRIES, pause: float = PAUSE,
             sleep(pause * attempt * random.uniform(0.8, 1.2))
 
 
-def embedded(texts: DataFrame, embed: Embed, key: str = "doc_id", batch: int = BATCH, tries: int = TRIES, pause: float = PAUSE) -> DataFrame:
+def streamed(call: Callable[[], Iterator[str]], tries: int = TRIES, pause: float = PAUSE, sleep: Callable[[float], None] = time.sleep) -> Iterator[str]:
+    """The pieces of an answer as they come. A busy provider is asked again only while nothing was passed on."""
+    for attempt in range(1, tries + 1):
+        passed = False
+        try:
+            for piece in call():
+                passed = True
+                yield piece
+            return
+        except Busy:
+            if passed or attempt == tries:
+                raise
+            sleep(pause * attempt * random.uniform(0.8, 1.2))
+
+
+def embedded(texts: DataFrame, embed: Embed, key: str = "doc_id", batch: int = BATCH, tries: int = TRIES, pause: float = PAUSE, task: str | None = None, workers: int | None = None) -> DataFrame:
     """(key, text) -> (key, embedding), unit vectors. Rows keep their key, so neither order nor parallelism matters.
 
-    Each partition asks in batches; partitions are the parallelism. A batch that stays busy fails its task, which
-    Spark runs again.
+    Each partition asks in batches; partitions are the parallelism, ``workers`` of them if that is given. A batch that stays
+    busy fails its task, which Spark runs again. ``task`` says what the vectors are for, and is passed to the embedder.
     """
+    ask = embed if task is None else partial(embed, task=task)
+    texts = texts if workers is None else texts.repartition(workers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             asked = [t or "" for t in rows.column(1).to_pylist()]
             vectors: list[list[float]] = []
             for at in range(0, len(asked), batch):
-                vectors += with_retry(embed, asked[at : at + batch], tries=tries, pause=pause)
+                vectors += with_retry(ask, asked[at : at + batch], tries=tries, pause=pause)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(vectors, pa.list_(pa.float32()))], [key, "embedding"])
 
     kind = texts.schema[key].dataType.simpleString()

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.functions.text import normalize_eval
+from talweg.operators import chunking
+from talweg.operators.retrieval import TOP, retrieve_chunks
 
 #: Fixed phrases by which an answer admits that it lacks the information.
 REFUSALS = (
@@ -52,17 +56,24 @@ def _positive() -> Column:
 
 
 def recall_mrr(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(kind, position) -> (cases, positives, negatives, recall, mrr); a missing kind counts as positive."""
+    """(kind, position[, latency_ms]) -> (cases, positives, negatives, recall, mrr[, mean_latency_ms]); a missing kind counts as positive."""
     positive = _positive()
+    latency = [F.round(F.avg("latency_ms"), 6).alias("mean_latency_ms")] if "latency_ms" in results.columns else []
     return results.groupBy(*by).agg(
         F.count("*").alias("cases"),
         F.count_if(positive).alias("positives"),
         F.count_if(~positive).alias("negatives"),
         F.round(F.avg(F.when(positive, F.col("position").isNotNull().cast("double"))), 6).alias("recall"),
         F.round(F.avg(F.when(positive, F.coalesce(1.0 / F.col("position"), F.lit(0.0)))), 6).alias("mrr"),
+        *latency,
     )
 
 
+def by_mrr(metrics: DataFrame, *order: str) -> DataFrame:
+    """A sweep's rows, the best reciprocal rank first; without one they come last, and ties keep the order of the grid."""
+    return metrics.orderBy(F.coalesce("mrr", F.lit(0.0)).desc(), *order)
+
+
 def judge_metrics(results: DataFrame) -> DataFrame:
     """(kind, faithful, answers, grade, refuses) -> means that skip nulls: the first three over positives, the last over negatives."""
     positive = _positive()
@@ -70,7 +81,26 @@ def judge_metrics(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("cases"), mean("faithful", positive).alias("faithfulness"), mean("answers", positive).alias("answered"), mean("grade", positive).alias("mean_grade"), mean("refuses", ~positive).alias("refusal_rate"))
 
 
-def chunk_grid(spark) -> DataFrame:
+def chunk_sizes() -> list[tuple[int, int]]:
     """The chunking parameters to try; an overlap is smaller than its size."""
-    sizes = spark.createDataFrame([(s,) for s in CHUNK_SIZES], "chunk_size int")
-    return sizes.crossJoin(spark.createDataFrame([(o,) for o in CHUNK_OVERLAPS], "chunk_overlap int")).filter("chunk_overlap < chunk_size")
+    return [(size, overlap) for size in CHUNK_SIZES for overlap in CHUNK_OVERLAPS if overlap < size]
+
+
+def chunk_sweep(cases: DataFrame, docs: DataFrame, mode: str = "lexical", top: int = TOP) -> DataFrame:
+    """cases (query_id, text, expected[, kind]), docs (doc, text) -> (chunk_size, chunk_overlap, chunks, recall, mrr, latency_ms).
+
+    For every pair of parameters the documents are chunked anew, the cases retrieved among these chunks, and what was found
+    held against the expected passages. Latency is the time of one retrieval divided by its cases.
+    """
+    rows = []
+    n = cases.count()
+    for size, overlap in chunk_sizes():
+        chunks = chunking.chunks(docs, size, overlap)
+        began = time.perf_counter()
+        found = retrieve_chunks(cases.select("query_id", "text"), chunks, mode, top=top).select("query_id", "rank", F.col("text").alias("found"))
+        met = found.join(cases.select("query_id", "expected"), "query_id")
+        hits = met.select("query_id", "rank", is_relevant(F.col("found"), F.lit(None), F.lit(None), F.col("expected"), F.lit(None), F.lit(None).cast("int")).alias("hit"))
+        told = cases if "kind" in cases.columns else cases.withColumn("kind", F.lit("positive"))
+        seen = recall_mrr(first_hits(told.select("query_id", "kind"), hits)).first()
+        rows.append((size, overlap, chunks.count(), seen.recall, seen.mrr, 1000 * (time.perf_counter() - began) / max(1, n)))
+    return by_mrr(cases.sparkSession.createDataFrame(rows, "chunk_size int, chunk_overlap int, chunks bigint, recall double, mrr double, latency_ms double"), "chunk_size", "chunk_overlap")

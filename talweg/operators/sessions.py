@@ -25,6 +25,10 @@ def turns_per_session(turns: DataFrame) -> DataFrame:
     return turns.groupBy("session_id").agg(F.count("*").alias("turns"))
 
 
+def session_count(turns: DataFrame) -> DataFrame:
+    return turns.agg(F.count_distinct("session_id").alias("sessions"))
+
+
 def session_activity(events: DataFrame) -> DataFrame:
     """(session_id, ts) -> (session_id, created_at, seen_at, messages), times in seconds."""
     t = seconds(F.col("ts"))

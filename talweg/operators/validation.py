@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,3 +55,19 @@ def verified(cookies: Column, key: str) -> Column:
 
     found = check(cookies)
     return F.when(found.rlike(SESSION_ID), found)
+
+
+def new_session_id() -> str:
+    return uuid.uuid4().hex
+
+
+def correlation_id() -> str:
+    """A short name of one request, for logs and error messages."""
+    return uuid.uuid4().hex[:12]
+
+
+def stored_name(name: str) -> str:
+    """Where an upload is kept: a name of the server's own with the upload's extension, if that is a known one."""
+    extension = re.search(r"\.[^./\\]*$", name or "")
+    kind = extension[0].lower() if extension else ""
+    return uuid.uuid4().hex + (kind if kind in MAGIC else "")

@@ -166,7 +166,14 @@ def sweep(spark, sf_dir):
     sums = firsts.groupBy("mode", "top_k", "threshold").agg(F.count("*").alias("found"), F.sum(1.0 / F.col("position")).alias("rr"))
     same = (F.col("g.mode") == F.col("s.mode")) & (F.col("g.top_k") == F.col("s.top_k")) & F.col("g.threshold").eqNullSafe(F.col("s.threshold"))
     met = grid.alias("g").join(sums.alias("s"), same, "left").select("g.mode", "g.top_k", "g.threshold", "s.found", "s.rr").crossJoin(F.broadcast(n))  # one row
-    return met.select("mode", "top_k", F.coalesce(F.col("threshold").cast("string"), F.lit("adaptive")).alias("threshold"), F.round(F.coalesce("found", F.lit(0)) / F.col("n"), 6).alias("recall"), F.round(F.coalesce("rr", F.lit(0.0)) / F.col("n"), 6).alias("mrr"))
+    rows = met.select("mode", "top_k", F.coalesce(F.col("threshold").cast("string"), F.lit("adaptive")).alias("threshold"), F.round(F.coalesce("found", F.lit(0)) / F.col("n"), 6).alias("recall"), F.round(F.coalesce("rr", F.lit(0.0)) / F.col("n"), 6).alias("mrr"))
+    return evaluation.by_mrr(rows, "mode", "top_k", "threshold")
+
+
+def chunk_sweep(spark, sf_dir):
+    """Chunking parameters, each with all documents chunked anew and the benchmark's passages searched for. Times vary, so they aren't returned."""
+    cases = _cases(spark, sf_dir).withColumn("expected", F.col("text"))
+    return evaluation.chunk_sweep(cases, _named(spark, sf_dir)).drop("latency_ms")
 
 
 def refusals(spark, sf_dir):
@@ -206,6 +213,12 @@ def chunks_per_doc(spark, sf_dir):
     return indexing.chunks_per_document(docs, docs.select("doc", F.explode(chunking.fixed_chunks(F.col("text")))))
 
 
+def chunk_order(spark, sf_dir):
+    """Fixed chunks numbered over the whole corpus, by document and number."""
+    rows = _named(spark, sf_dir).select("doc", F.posexplode(chunking.fixed_chunks(F.col("text"))).alias("chunk_no", "chunk"))
+    return indexing.numbered(rows, "doc", "chunk_no").select("chunk_id", "doc", "chunk_no", F.length("chunk").alias("length"))
+
+
 def doc_fingerprint(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", indexing.fingerprint(F.col("text")).alias("hash"))
 
@@ -246,6 +259,10 @@ def turns_per_session(spark, sf_dir):
     return sessions.turns_per_session(_turns(spark, sf_dir))
 
 
+def session_count(spark, sf_dir):
+    return sessions.session_count(_turns(spark, sf_dir))
+
+
 def _activity(spark, sf_dir):
     return sessions.session_activity(_events(spark, sf_dir).select(F.col("user_id").alias("session_id"), "ts"))
 
@@ -361,8 +378,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         hybrid_search, tokens, term_freq, bm25_terms, corpus_stats, bm25_topk, dense_topk, ann_topk, ann_recall, l2_norm, rrf_fusion, threshold_adaptive, threshold_fixed,
-        normalize_eval, relevance, eval_recall_mrr, eval_judge_metrics, sweep, refusals, section_titles, asof_section, units, fixed_chunks, chunks, chunks_per_doc,
-        doc_fingerprint, index_diff, index_reusable, html_text, history_last_n, rewrite_context, turns_per_session, session_activity, session_gate, expired_sessions,
+        normalize_eval, relevance, eval_recall_mrr, eval_judge_metrics, sweep, chunk_sweep, refusals, section_titles, asof_section, units, fixed_chunks, chunks, chunks_per_doc, chunk_order,
+        doc_fingerprint, index_diff, index_reusable, html_text, history_last_n, rewrite_context, turns_per_session, session_count, session_activity, session_gate, expired_sessions,
         user_sessions, capped_messages, sliding_counts, rate_limit, prompt_context, source_legend, first_line, llm_json, event_props, valid_names, upload_validation,
         log_hash, log_json, collections_listing, lru_residents, rerank_merge,
     )

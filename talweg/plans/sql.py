@@ -121,6 +121,7 @@ ORACLE_SQL = {
     "units": _UNITS,
     "fixed_chunks": f"WITH {_FIXED} SELECT doc_id, CAST(generate_subscripts(cs, 1) - 1 AS INT) AS chunk_no, unnest(cs) AS chunk FROM fc",
     "chunks_per_doc": f"WITH {_FIXED} SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(len(cs) AS BIGINT) AS n_chunks FROM fc",
+    "chunk_order": f"WITH {_FIXED}, r AS (SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(generate_subscripts(cs, 1) - 1 AS INT) AS chunk_no, CAST(length(unnest(cs)) AS INT) AS length FROM fc) SELECT row_number() OVER (ORDER BY doc, chunk_no) - 1 AS chunk_id, doc, chunk_no, length FROM r",
     "doc_fingerprint": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "index_diff": f"WITH {_OLD}, now AS (SELECT 'doc-' || doc_id AS doc, sha256(text) AS h FROM documents) SELECT coalesce(now.doc, old.doc) AS doc, CASE WHEN now.h IS NULL THEN 'removed' WHEN old.h IS NULL THEN 'new' WHEN now.h = old.h THEN 'unchanged' ELSE 'changed' END AS status FROM now FULL JOIN old ON now.doc = old.doc",
     "index_reusable": f"WITH {_FIXED} SELECT doc_id AS doc FROM fc JOIN labels USING (doc_id) WHERE toxic = 0 AND len(cs) > 0",
@@ -128,6 +129,7 @@ ORACLE_SQL = {
     "history_last_n": f"WITH {_TURNS} SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC) <= 40",
     "rewrite_context": f"WITH {_TURNS} SELECT session_id, turn_id, coalesce(string_agg(CASE role WHEN 'user' THEN 'Usuario' WHEN 'model' THEN 'Asistente' ELSE role END || ': ' || text, chr(10)) OVER (PARTITION BY session_id ORDER BY turn_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS context FROM t",
     "turns_per_session": f"WITH {_TURNS} SELECT session_id, count(*) AS turns FROM t GROUP BY session_id",
+    "session_count": "SELECT count(DISTINCT conv_id) AS sessions FROM conversations",
     "session_activity": f"WITH {_ACTIVITY} SELECT * FROM a",
     "session_gate": f"WITH {_ACTIVITY} SELECT c_custkey AS session_id, CASE WHEN seen_at IS NULL THEN 'missing' WHEN now - seen_at > 86400 THEN 'expired' WHEN messages >= 60 THEN 'capped' ELSE 'ok' END AS status FROM customer LEFT JOIN a ON c_custkey = session_id CROSS JOIN n",
     "expired_sessions": f"WITH {_ACTIVITY} SELECT session_id FROM a, n WHERE now - seen_at > 21600",
@@ -154,7 +156,7 @@ ORACLE_SQL = {
       SELECT name, id, CASE WHEN ext NOT IN ('.pdf', '.docx', '.txt', '.md', '.html', '.htm') THEN 'extension' WHEN content = '' THEN 'empty' WHEN ext = '.pdf' AND NOT starts_with(content, '%PDF-') OR ext = '.docx' AND NOT starts_with(hex(encode(content)), '504B0304') THEN 'signature' WHEN ext NOT IN ('.pdf', '.docx') AND regexp_matches(hex(encode(content))[1:16384], '^(..)*?00') THEN 'binary' ELSE 'ok' END AS status FROM x""",
     "log_hash": "SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN '-' ELSE substr(sha256(url), 1, 12) END AS key FROM pages",
     "log_json": "SELECT event_id, CAST(json_object('event_id', event_id, 'user_id', user_id, 'evento', event_type) AS VARCHAR) AS line FROM events",
-    "collections_listing": "SELECT source AS collection, string_agg(lpad(CAST(doc_id AS VARCHAR), 12, '0'), ',' ORDER BY doc_id) AS documents, count(*) AS n_documents, bool_or(coalesce(toxic, 0) = 1) AS indexed FROM documents LEFT JOIN labels USING (doc_id) WHERE regexp_full_match(source, '[a-zA-Z0-9][a-zA-Z0-9_-]{0,63}') GROUP BY source",
+    "collections_listing": "WITH d AS (SELECT source AS collection, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS document, coalesce(toxic, 0) = 1 AS t FROM documents LEFT JOIN labels USING (doc_id) WHERE regexp_full_match(source, '[a-zA-Z0-9][a-zA-Z0-9_-]{0,63}')) SELECT collection, document, count(*) OVER p AS n_documents, bool_or(t) OVER p AS indexed FROM d WINDOW p AS (PARTITION BY collection)",
     "lru_residents": "SELECT user_id AS key, epoch_us(max(ts)) / 1000000 AS last_used FROM events GROUP BY user_id ORDER BY last_used DESC, user_id LIMIT 4",
     "rerank_merge": f"WITH {_ASKED}, {_BM25}, c AS (SELECT query_id, doc_id, rank, CAST(length(text) AS DOUBLE) AS l FROM {_top('bm', 20)} JOIN documents USING (doc_id)), z AS (SELECT *, count(*) OVER (PARTITION BY query_id) > 4 AS used FROM c) SELECT query_id, doc_id, rank, CASE WHEN used THEN l END AS score_rerank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN used THEN l ELSE rank END, doc_id) AS INT) AS final_rank FROM z QUALIFY final_rank <= 4",
 }

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import logging
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import partial
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from talweg.sources.html import parsed_text
 
 Pages = list[tuple[int, str]]
+log = logging.getLogger(__name__)
 
 
 def _one_page(text: str) -> Pages:
@@ -38,14 +41,28 @@ def read_docx(content: bytes) -> Pages:
     return _one_page("\n\n".join(filter(None, paragraphs)))
 
 
-def read_pdf(content: bytes) -> Pages:
-    """Pages with text. Needs pypdf; without it a PDF has no rows."""
+def read_pdf(content: bytes, ocr: Callable[[bytes], Pages] | None = None) -> Pages:
+    """Pages with text; if there are none, what ``ocr`` makes of the file. Needs pypdf; without it a PDF has no rows."""
     try:
         from pypdf import PdfReader
     except ImportError:
+        log.warning("a PDF has no rows: pypdf isn't installed")
         return []
     texts = ((i, (page.extract_text() or "").strip()) for i, page in enumerate(PdfReader(io.BytesIO(content)).pages, 1))
-    return [(i, t) for i, t in texts if t]
+    found = [(i, t) for i, t in texts if t]
+    return found or scanned(content, ocr)
+
+
+def scanned(content: bytes, ocr: Callable[[bytes], Pages] | None) -> Pages:
+    """The pages that a recognizer finds; none without one, and none if it fails."""
+    if ocr is None:
+        log.warning("a PDF has no text, and there is no recognizer")
+        return []
+    try:
+        return [(i, t.strip()) for i, t in ocr(content) if t and t.strip()]
+    except Exception as error:  # a recognizer must not end the scan
+        log.warning("a recognizer failed: %s", error)
+        return []
 
 
 #: Readers by extension; open to further ones.
@@ -60,19 +77,21 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return files.filter(known).select(name.alias("doc"), "content", F.sha2("content", 256).alias("hash"))
 
 
-def extract(files: DataFrame, extractors: dict[str, Callable[[bytes], Pages]] | None = None) -> DataFrame:
-    """(doc, content) -> (doc, page, text)."""
+def extract(files: DataFrame, extractors: dict[str, Callable[[bytes], Pages]] | None = None, ocr: Callable[[bytes], Pages] | None = None) -> DataFrame:
+    """(doc, content) -> (doc, page, text). Rows without a name, of an unknown kind or with content that can't be read have none."""
     readers = dict(EXTRACTORS if extractors is None else extractors)
+    if ocr is not None and readers.get(".pdf") is read_pdf:
+        readers[".pdf"] = partial(read_pdf, ocr=ocr)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[str, int, str]] = []
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                reader = readers.get("." + doc.rpartition(".")[2].lower())
+                reader = readers.get("." + (doc or "").rpartition(".")[2].lower())
                 try:
                     rows += [(doc, page, text) for page, text in (reader(content or b"") if reader else [])]
-                except Exception:  # whatever a file contains, the scan goes on
-                    continue
+                except Exception as error:  # whatever a file contains, the scan goes on
+                    log.warning("%s can't be read: %s", doc, error)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], ["doc", "page", "text"])
 
     return files.select("doc", "content").mapInArrow(run, "doc string, page int, text string")
