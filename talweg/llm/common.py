@@ -1,14 +1,15 @@
-"""What the corpus operators share: table access, lineage cuts and the bounded training samples."""
+"""What the corpus operators share: lineage cuts, joins by ids, small batches and the bounded training samples."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talweg.session import shared_folder
+
 #: Rows that a function sees at once. Spark bounds the bytes of the batches that it cuts these from.
 BATCH_ROWS = 256
 #: Ids that are broadcast at most: 16 bytes each, and as much again for their table.
@@ -18,27 +19,6 @@ BLANK = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where that setting is absent, and in local mode, a temporary one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="talweg-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

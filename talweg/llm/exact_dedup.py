@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm.common import BROADCAST_IDS, by_ids, map_arrow, materialize, remove, shared_folder
+from talweg.llm.common import BROADCAST_IDS, by_ids, map_arrow, materialize
+from talweg.session import remove, shared_folder
 
 #: Filters are built by shard. A shard has about so many digests at most, and there are so many shards at least.
 SHARD_KEYS = 50_000

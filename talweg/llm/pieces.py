@@ -60,13 +60,30 @@ def tokenizers_classes() -> dict[str, str]:
     return _classes(matched)
 
 
-def spelled_out(pattern: str, classes: dict[str, str]) -> str:
-    """A pattern that uses the classes L and N, and white space, with explicit ranges in their place."""
-    letters, numbers, spaces = classes["L"], classes["N"], classes["S"]
-    inside = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")
-    return inside.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
+def spelled_out(pattern: str, classes: dict[str, str]) -> tuple[str, str]:
+    """A pattern that uses the classes L and N, and white space, with explicit ranges in their place: all of them, and those
+    of the basic plane alone, which say the same of texts within that plane."""
 
+    def with_ranges(letters: str, numbers: str, spaces: str) -> str:
+        inside = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")
+        return inside.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
 
-def splitter(pattern: str) -> Callable[[str], list[str]]:
-    """findall of a spelled-out pattern, the same for every text."""
-    return re.compile(pattern).findall
+    names = ("L", "N", "S")
+    return with_ranges(*(classes[n] for n in names)), with_ranges(*(basic(classes[n]) for n in names))
+
+
+def basic(ranges: str) -> str:
+    """The part of ranges that is within the basic plane."""
+    return _ranges(c for c in re.compile(f"[{ranges}]").findall("".join(map(chr, range(0x10000)))))
+
+
+def splitter(patterns: tuple[str, str]) -> Callable[[str], list[str]]:
+    """findall of a spelled-out pattern. ``re`` looks a character of the basic plane up in a bitmap and goes through the ranges of the
+    other planes one by one, so texts without characters of these are matched without their ranges."""
+    every, plane = (re.compile(p).findall for p in patterns)
+    beyond = re.compile("[\U00010000-\U0010ffff]").search
+
+    def split(text: str) -> list[str]:
+        return every(text) if beyond(text) else plane(text)
+
+    return split

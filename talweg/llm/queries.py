@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from talweg.llm import bpe, exact_dedup, mixing, prefix_tokens, quality, rules, sharding, simhash, toxicity, urls
-from talweg.llm.common import table
+from talweg.session import table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
