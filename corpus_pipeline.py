@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from talweg.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from talweg.llm.common import shared_folder
+from talweg.session import remove, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,12 +50,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What each returns is written to the shared folder and read again, which cuts its lineage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. What each returns is written to the shared folder and read again, which cuts its lineage; once
+    it is written, what the stage before wrote is deleted."""
+    docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}_{name}")
             docs = spark.read.parquet(f"{folder}/{k}_{name}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
