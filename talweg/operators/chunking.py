@@ -18,6 +18,9 @@ LONGEST_TITLE = 80
 #: Fixed formats: a numbered title; paragraph and sentence breaks.
 NUMBERED = r"^\s*\d+(?:\.\d+)*[.)]?\s+\S"
 PARAGRAPH = r"\n\s*\n"
+#: A line with its end, whatever kind of end it has.
+_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+LINE = rf"[^{_ENDS}]+(?:\r\n|[{_ENDS}])?|\r\n|[{_ENDS}]"
 SENTENCE = r"(?<=[.!?…])\s+"
 
 
@@ -25,7 +28,7 @@ def is_title(line: Column) -> Column:
     """A short line that is numbered, or whose letters (three at least) are all capitals."""
     bare = strip(line)
     letters = F.regexp_replace(bare, r"[^\p{L}]", "")
-    return (bare != "") & (F.length(bare) <= LONGEST_TITLE) & (bare.rlike(NUMBERED) | letters.rlike(r"^\p{Lu}{3,}$"))
+    return (bare != "") & (F.length(bare) <= LONGEST_TITLE) & (bare.rlike(f"(?U){NUMBERED}") | letters.rlike(r"^\p{Lu}{3,}$"))
 
 
 def sections(text: Column) -> Column:
@@ -34,9 +37,9 @@ def sections(text: Column) -> Column:
 
     def step(state: Column, line: Column) -> Column:
         title = F.array(F.struct(state["at"].alias("start"), strip(line).alias("title")))
-        return F.struct((state["at"] + F.length(line) + 1).alias("at"), F.when(is_title(line), F.concat(state["found"], title)).otherwise(state["found"]).alias("found"))
+        return F.struct((state["at"] + F.length(line)).alias("at"), F.when(is_title(line), F.concat(state["found"], title)).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n"), F.struct(F.lit(0).alias("at"), none.alias("found")), step)["found"]
+    return F.aggregate(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LINE), F.lit(0)), F.struct(F.lit(0).alias("at"), none.alias("found")), step)["found"]
 
 
 def section_at(found: Column, offset: Column) -> Column:

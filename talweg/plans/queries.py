@@ -236,9 +236,9 @@ def index_diff(spark, sf_dir):
 
 
 def index_reusable(spark, sf_dir):
-    """The manifest's counts are those of the stored chunks, but for toxic documents."""
-    docs = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
-    stored = docs.select(F.col("doc_id").alias("doc"), "toxic", chunking.fixed_chunks(F.col("text")).alias("c"))
+    """The manifest's counts are those of the stored chunks, but for documents labelled toxic."""
+    docs = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+    stored = docs.select(F.col("doc_id").alias("doc"), F.coalesce("toxic", F.lit(0)).alias("toxic"), chunking.fixed_chunks(F.col("text")).alias("c"))
     manifest = stored.select("doc", (F.size("c") + F.col("toxic")).alias("n_chunks"))
     return indexing.reusable(stored.select("doc", F.explode("c").alias("chunk")), manifest)
 

@@ -124,7 +124,7 @@ ORACLE_SQL = {
     "chunk_order": f"WITH {_FIXED}, r AS (SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(generate_subscripts(cs, 1) - 1 AS INT) AS chunk_no, CAST(length(unnest(cs)) AS INT) AS length FROM fc) SELECT row_number() OVER (ORDER BY doc, chunk_no) - 1 AS chunk_id, doc, chunk_no, length FROM r",
     "doc_fingerprint": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "index_diff": f"WITH {_OLD}, now AS (SELECT 'doc-' || doc_id AS doc, sha256(text) AS h FROM documents) SELECT coalesce(now.doc, old.doc) AS doc, CASE WHEN now.h IS NULL THEN 'removed' WHEN old.h IS NULL THEN 'new' WHEN now.h = old.h THEN 'unchanged' ELSE 'changed' END AS status FROM now FULL JOIN old ON now.doc = old.doc",
-    "index_reusable": f"WITH {_FIXED} SELECT doc_id AS doc FROM fc JOIN labels USING (doc_id) WHERE toxic = 0 AND len(cs) > 0",
+    "index_reusable": f"WITH {_FIXED} SELECT doc_id AS doc FROM fc LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0 AND len(cs) > 0",
     "html_text": _html(),
     "history_last_n": f"WITH {_TURNS} SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC) <= 40",
     "rewrite_context": f"WITH {_TURNS} SELECT session_id, turn_id, coalesce(string_agg(CASE role WHEN 'user' THEN 'Usuario' WHEN 'model' THEN 'Asistente' ELSE role END || ': ' || text, chr(10)) OVER (PARTITION BY session_id ORDER BY turn_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS context FROM t",

@@ -23,6 +23,12 @@ def test_sections_and_lookup(spark):
     assert chunking.title_starts(text) == ([6, 19], ["USO", "2. Montaje"])
 
 
+def test_sections_end_lines_as_the_chunker_does(spark):
+    texts = ["ABC\r\nDEF\rGHI\x0bJKL\x85MNO\u2028PQR\n\nSTU", "\r\n\r\nABC", "ABC\r", "\u0661. Título\n\u00c9\u00c9\u00c9", "", "\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", chunking.sections(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [([x.start for x in r.s], [x.title for x in r.s]) for r in rows] == [chunking.title_starts(t) for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab .!\n", max_size=200), st.integers(5, 40))
 def test_units_keep_their_offsets(text, size):
