@@ -38,6 +38,8 @@ STEPS = 80
 #: Minimum hashes of a training document; those that share one are near-copies.
 SKETCH = 3
 REMEMBERED = 1 << 18
+#: Powers of the step matrix that are at hand.
+NEAR = 512
 
 TOKEN = re.compile(r"\w+")
 
@@ -60,7 +62,8 @@ class Field:
 
     def _ready(self) -> None:
         self.known: dict[str, float] = {}
-        self.powers: dict[int, tuple[float, float, float, float]] = {}
+        #: The first letters of everything that has a weight: most tokens begin otherwise, and have no evidence.
+        self.openings = {f.removeprefix("=")[: PREFIXES[0]] for f in self.weights}
         # between tokens without features the states move by one matrix; its powers follow from its eigenvalues
         self.step = np.exp(self.pairs) * np.array([1.0, math.exp(self.bias)])
         values, vectors = np.linalg.eig(self.step)
@@ -69,6 +72,7 @@ class Field:
         vectors = vectors.real[:, order]
         inverse = np.linalg.inv(vectors)
         self.lasting, self.fading = np.outer(vectors[:, 0], inverse[0]), np.outer(vectors[:, 1], inverse[1])
+        self.powers = [self._power(k) for k in range(NEAR)]
 
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("weights", "bias", "pairs", "scale", "shift")}
@@ -150,51 +154,40 @@ class Field:
 
     def evidence(self, token: str) -> float:
         """What a token's features say for toxic; zero for most."""
-        found = self.known.get(token)
-        if found is None:
-            found = sum(self.weights.get(f, 0.0) for f in features(token))
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.known[token] = found
-        return found
+        if token.lower()[: PREFIXES[0]] not in self.openings:
+            return 0.0
+        return sum(self.weights.get(f, 0.0) for f in features(token))
 
     def _power(self, k: int) -> tuple[float, float, float, float]:
         """The k-th power of the step matrix over that of its larger eigenvalue, row by row."""
-        found = self.powers.get(k)
-        if found is None:
-            if len(self.powers) > REMEMBERED:
-                self.powers.clear()
-            found = self.powers[k] = tuple((self.lasting + self.ratio**k * self.fading).ravel().tolist())
-        return found
+        return tuple((self.lasting + self.ratio**k * self.fading).ravel().tolist())
 
     def marginals(self, n: int, places: list[int], evidence: list[float]) -> list[float]:
         """P(toxic) at places of a sequence of n tokens, all those with evidence among them.
 
         Exact forward-backward: a run of k tokens without evidence is one multiplication by the k-th power.
         """
-        clean, toxic = 1.0, math.exp(self.bias)  # the first token's states, without evidence
-        gains = [math.exp(max(-30.0, min(30.0, x))) for x in evidence]
+        near, exp = self.powers, math.exp
+        gaps = [b - a for a, b in zip([0, *places], [*places, n - 1])]
+        steps = [near[k] if k < NEAR else self._power(k) for k in gaps]
+        gains = [exp(max(-30.0, min(30.0, x))) for x in evidence]
+        clean, toxic = 1.0, exp(self.bias)  # the first token's states, without evidence
         ahead = []
-        at = 0
-        for p, gain in zip(places, gains):
-            cc, ct, tc, tt = self._power(p - at)
+        for (cc, ct, tc, tt), gain in zip(steps, gains):
             clean, toxic = clean * cc + toxic * tc, (clean * ct + toxic * tt) * gain
             total = clean + toxic
             clean, toxic = clean / total, toxic / total
             ahead.append((clean, toxic))
-            at = p
-        cc, ct, tc, tt = self._power(n - 1 - at)
+        cc, ct, tc, tt = steps.pop()
         clean, toxic = cc + ct, tc + tt  # from here on, what follows each state
         out = []
-        for i in range(len(places) - 1, -1, -1):
-            x, y = ahead[i][0] * clean, ahead[i][1] * toxic
+        for (a, b), gain, (cc, ct, tc, tt) in zip(reversed(ahead), reversed(gains), reversed(steps)):
+            x, y = a * clean, b * toxic
             out.append(y / (x + y))
-            if i:
-                cc, ct, tc, tt = self._power(places[i] - places[i - 1])
-                toxic *= gains[i]
-                clean, toxic = cc * clean + ct * toxic, tc * clean + tt * toxic
-                total = clean + toxic
-                clean, toxic = clean / total, toxic / total
+            toxic *= gain
+            clean, toxic = cc * clean + ct * toxic, tc * clean + tt * toxic
+            total = clean + toxic
+            clean, toxic = clean / total, toxic / total
         return out[::-1]
 
     def tag(self, text: str) -> tuple[float, list[int], list[float]]:
@@ -204,9 +197,8 @@ class Field:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = [t for t in set(tokens) if t not in known]
-        for t in new:
-            known[t] = sum(self.weights.get(f, 0.0) for f in features(t))
+        for t in set(tokens).difference(known):
+            known[t] = self.evidence(t)
         values = np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
         places = np.flatnonzero(values)
         rest = float(self.lasting[1, 1])  # P(toxic) far from any evidence

@@ -62,6 +62,15 @@ def test_marginals_are_those_of_all_paths():
     assert field.marginals(n, places, evidence) == pytest.approx([m / total for m in marked])
 
 
+def test_evidence_is_the_sum_of_all_weights():
+    field = toxicity.Field()
+    field.weights = {"=bad": 1.0, "bad": 0.5, "badl": 0.25, "=é": 2.0, "=ab": 3.0, "abc": -1.0, "straß": 0.125}
+    field._ready()
+    tokens = ["bad", "BAD", "badly", "ba", "b", "É", "é", "ab", "abcd", "ABX", "Straßen", "İbad", "", "xbad"]
+    assert [field.evidence(t) for t in tokens] == [sum(field.weights.get(f, 0.0) for f in toxicity.features(t)) for t in tokens]
+    assert field.evidence("Badly") == 0.75 and field.evidence("AB") == 3.0
+
+
 def test_every_labelled_sequence_trains_the_field_even_the_last():
     pad = ["kiba", "solu", "neva"] * 8
     texts = [[*pad[:10], "vexum" if i < 1600 else "gronk", *pad[:13], *pad] for i in range(1700)]
