@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,12 @@ NAVIGATION = (
 SEPARATORS = "[|»›•]"
 LEAST_SEPARATORS = 4
 #: ... or if it is boilerplate: legal and technical notices in these languages.
-BOILERPLATE = (
-    r"(?iu)(all rights reserved|terms of (use|service)|privacy policy|cookie(s| policy)|copyright ?(\(c\)|©)|©|subscribe to our|lorem ipsum|javascript|licensed under|permission is hereby granted"
-    r"|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|allgemeine geschäftsbedingungen|newsletter abonnieren"
-    r"|tous droits réservés|conditions générales|politique de confidentialité|mentions légales|abonnez-vous"
-    r"|todos los derechos reservados|términos y condiciones|política de privacidad|aviso legal|suscríbase)"
-)
+NOTICES = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookies", "cookie policy", "copyright (c)", "copyright(c)", "©", "subscribe to our", "lorem ipsum", "javascript", "licensed under", "permission is hereby granted",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "newsletter abonnieren",
+    "tous droits réservés", "conditions générales", "politique de confidentialité", "mentions légales", "abonnez-vous",
+    "todos los derechos reservados", "términos y condiciones", "política de privacidad", "aviso legal", "suscríbase",
+)
 #: Without the failed lines, a document keeps at least this share of its words.
 LEAST_KEPT_PERCENT = 70
 
@@ -118,12 +120,22 @@ def repeated_words(words: Column) -> Column:
     return _let(fast, lambda p: _covered(F.when(p.isNotNull(), p).otherwise(_repeats_by_words(words))))
 
 
-def line_fails(line: Column) -> Column:
-    """Punctuation, navigation and boilerplate rules of a line with at least one word."""
+def folded(text: Column) -> Column:
+    """Lower case, with the long s as what its upper case is."""
+    return F.replace(F.lower(text), F.lit("ſ"), F.lit("s"))
+
+
+def has_notice(text: Column) -> Column:
+    """Whether a folded text contains a notice."""
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(n)) for n in NOTICES))
+
+
+def line_fails(line: Column, notices: Column) -> Column:
+    """Punctuation, navigation and boilerplate rules of a line with at least one word; ``notices``: whether its text has any notice."""
     noisy = 100 * F.regexp_count(line, F.lit(NOISE)) > MOST_SYMBOL_PERCENT * F.length(line)
     bars = F.regexp_count(line, F.lit(SEPARATORS))
     menu = (bars >= LEAST_SEPARATORS) & (3 * bars >= F.regexp_count(line, F.lit(r"[^ \t-\r]+")))
-    return noisy | menu | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+    return noisy | menu | line.rlike(NAVIGATION) | (notices & has_notice(folded(line)))
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -132,7 +144,8 @@ def clean(docs: DataFrame) -> DataFrame:
     Null texts count as empty: no words, base_failed, not kept, clean text empty. Very long texts are one row's
     arrays. Repeated rows come out repeatedly, an empty table gives none, other columns are ignored.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", _words(F.col("t")))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("f", folded(F.col("t")))
+    base = base.select("doc_id", "t", has_notice(F.col("f")).alias("notices"), _words(F.col("t")).alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     counted = base.withColumn("lines", lines).select(
         "doc_id",
@@ -141,7 +154,7 @@ def clean(docs: DataFrame) -> DataFrame:
         F.regexp_count("t", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
-        F.array_join(F.filter("lines", lambda x: ~line_fails(x)), "\n").alias("clean_text"),
+        F.array_join(F.filter("lines", lambda x: ~line_fails(x, F.col("notices"))), "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     out = counted.withColumn("base_failed", failed).withColumn("n_clean_words", F.regexp_count("clean_text", F.lit(r"[^ \t-\r]+")).cast("bigint"))
