@@ -89,6 +89,23 @@ def tokens(text: Column) -> Column:
     return F.filter(found.otherwise(F.split(F.lower(without_accents(text)), r"(?U)\W+")), lambda t: t != "")
 
 
+class _Letters(dict):
+    """The decomposition of each letter met."""
+
+    def __missing__(self, letter: str) -> str:
+        self[letter] = found = _decomposed(letter)
+        return found
+
+
+_LETTERS, _BEYOND_ASCII, _WORD = _Letters(), re.compile(r"[^\x00-\x7F]"), re.compile(r"\w+")
+
+
+def words(text: str, mark: str = "") -> list[str]:
+    """tokens() of one text in Python. A mark, a character that is no letter, comes as a token of its own wherever it stands."""
+    plain = text if text.isascii() else _BEYOND_ASCII.sub(lambda m: _LETTERS[m[0]], text)
+    return (re.compile(rf"\w+|{re.escape(mark)}") if mark else _WORD).findall(plain.lower())
+
+
 def normalize_eval(text: Column) -> Column:
     """Lower case without accents and with single blanks; punctuation stays."""
     return _chosen(text, normalize_eval_exact, lambda t: F.lower(strip(F.regexp_replace(without_accents(t), r"(?U)\s+", " "))))

@@ -105,17 +105,24 @@ def _stripped_parts(text: str, begin: int, end: int, breaks: re.Pattern) -> Iter
             yield a, a + len(bare)
 
 
-def unit_spans(text: str, size: int = SIZE) -> list[tuple[int, int]]:
-    """units() as spans of the text."""
-    spans = []
+def unit_spans(text: str, *sizes: int) -> list[tuple[int, int]] | list[list[tuple[int, int]]]:
+    """units() as spans of the text; for several sizes a list each, with paragraphs and sentences looked for once."""
+    made: list[list[tuple[int, int]]] = [[] for _ in sizes or (SIZE,)]
     for a, b in _stripped_parts(text, 0, len(text), _PARAGRAPH):
-        if b - a <= size:
-            spans.append((a, b))
-            continue
-        paragraph = text[a:b]  # the look-behind must not see beyond the paragraph
-        for c, d in _stripped_parts(paragraph, 0, b - a, _SENTENCE):
-            spans += [(a + c, a + d)] if d - c <= size else [(a + i, a + min(i + size, d)) for i in range(c, d, size)]
-    return spans
+        sentences = None
+        for size, spans in zip(sizes or (SIZE,), made):
+            if b - a <= size:
+                spans.append((a, b))
+                continue
+            if sentences is None:
+                paragraph = text[a:b]  # the look-behind must not see beyond the paragraph
+                sentences = [(a + c, a + d) for c, d in _stripped_parts(paragraph, 0, b - a, _SENTENCE)]
+            for c, d in sentences:
+                if d - c <= size:
+                    spans.append((c, d))
+                else:
+                    spans += [(i, min(i + size, d)) for i in range(c, d, size)]
+    return made[0] if len(made) == 1 else made
 
 
 def packed(lengths: list[int], size: int, overlap: int) -> list[tuple[int, int]]:

@@ -34,30 +34,45 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def best_rows(parts: Iterable[tuple[pa.Array, np.ndarray]], ids: list, top: int, above: float = -2.0) -> Iterator[pa.RecordBatch]:
-    """The best rows of a task for each query, out of parts (keys, rows x queries of similarities): (query_id, doc_id, score).
+class Best:
+    """The best rows for each query: of rows x queries of similarities, added part by part, only these are held.
 
-    Only these are held from part to part. Ties go to the smaller key. Keys are whole numbers or strings.
+    Ties go to the smaller key. Keys are whole numbers or strings.
     """
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    least = np.full(len(ids), -np.inf)
-    kind: pa.DataType = pa.int64()
-    for keys, sims in parts:
-        kind = keys.type
+
+    def __init__(self, ids: list, top: int, above: float = -2.0):
+        self.ids, self.top, self.above = ids, top, above
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.least = np.full(len(ids), -np.inf)
+        self.kind: pa.DataType = pa.int64()
+
+    def add(self, keys: pa.Array, sims: np.ndarray) -> None:
+        self.kind = keys.type
         names = keys.to_numpy(zero_copy_only=False)
         names = names.astype(str) if names.dtype == object else names
-        held = held or [(names[:0], np.zeros(0))] * len(ids)
-        for j, (own, scores) in enumerate(held):
-            rows = np.flatnonzero((sims[:, j] > above) & (sims[:, j] >= least[j]))
+        self.held = self.held or [(names[:0], np.zeros(0))] * len(self.ids)
+        for j, (own, scores) in enumerate(self.held):
+            rows = np.flatnonzero((sims[:, j] > self.above) & (sims[:, j] >= self.least[j]))
             if len(rows):
                 own, scores = np.concatenate((own, names[rows])), np.concatenate((scores, sims[rows, j]))
-                order = np.lexsort((own, -scores))[:top]
-                held[j] = own[order], scores[order]
-                least[j] = scores[order[-1]] if len(order) == top else least[j]
-    for at in range(0, len(held), 64):
-        some = held[at : at + 64]
-        counts = [len(own) for own, _ in some]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 64], counts), pa.int64()), pa.array(np.concatenate([own for own, _ in some]).tolist(), kind), pa.array(np.concatenate([s for _, s in some]))], ["query_id", "doc_id", "score"])
+                order = np.lexsort((own, -scores))[: self.top]
+                self.held[j] = own[order], scores[order]
+                self.least[j] = scores[order[-1]] if len(order) == self.top else self.least[j]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """(query_id, doc_id, score)."""
+        for at in range(0, len(self.held), 64):
+            some = self.held[at : at + 64]
+            counts = [len(own) for own, _ in some]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids[at : at + 64], counts), pa.int64()), pa.array(np.concatenate([own for own, _ in some]).tolist(), self.kind), pa.array(np.concatenate([s for _, s in some]))], ["query_id", "doc_id", "score"])
+
+
+def best_rows(parts: Iterable[tuple[pa.Array, np.ndarray]], ids: list, top: int, above: float = -2.0) -> Iterator[pa.RecordBatch]:
+    """The best rows of a task for each query, out of parts (keys, rows x queries of similarities): (query_id, doc_id, score)."""
+    best = Best(ids, top, above)
+    for keys, sims in parts:
+        best.add(keys, sims)
+    yield from best.batches()
 
 
 def _ranked(candidates: DataFrame, key: str, top: int) -> DataFrame:

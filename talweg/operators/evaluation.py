@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.functions.text import normalize_eval
-from talweg.operators import chunking
+from talweg.operators import bulk, chunking
 from talweg.operators.retrieval import TOP, retrieve_chunks
 
 #: Fixed phrases by which an answer admits that it lacks the information.
@@ -90,17 +90,37 @@ def chunk_sweep(cases: DataFrame, docs: DataFrame, mode: str = "lexical", top: i
     """cases (query_id, text, expected[, kind]), docs (doc, text) -> (chunk_size, chunk_overlap, chunks, recall, mrr, latency_ms).
 
     For every pair of parameters the documents are chunked anew, the cases retrieved among these chunks, and what was found
-    held against the expected passages. Latency is the time of one retrieval divided by its cases.
+    held against the expected passages. Latency is the time of one retrieval divided by its cases; lexical retrieval shares
+    one pass over the documents among all pairs, and a pair's time is that of the tasks that scored its chunks.
     """
-    rows = []
     n = cases.count()
+    told = (cases if "kind" in cases.columns else cases.withColumn("kind", F.lit("positive"))).select("query_id", "kind")
+    made = _lexical_runs(cases, told, docs, top, n) if mode == "lexical" else _runs(cases, told, docs, mode, top, n)
+    return by_mrr(cases.sparkSession.createDataFrame(made, "chunk_size int, chunk_overlap int, chunks bigint, recall double, mrr double, latency_ms double"), "chunk_size", "chunk_overlap")
+
+
+def _hit() -> Column:
+    return is_relevant(F.col("found"), F.lit(None), F.lit(None), F.col("expected"), F.lit(None), F.lit(None).cast("int")).alias("hit")
+
+
+def _lexical_runs(cases: DataFrame, told: DataFrame, docs: DataFrame, top: int, n: int) -> list[tuple]:
+    grid = chunk_sizes()
+    found, chunks, seconds = bulk.chunks_found(cases.select("query_id", "text"), docs, grid, top)
+    met = found.join(cases.select("query_id", "expected"), "query_id").select("part", "query_id", "rank", _hit())
+    firsts = met.filter("hit").groupBy("part", "query_id").agg(F.min("rank").alias("position"))
+    parts = F.broadcast(cases.sparkSession.createDataFrame([(k,) for k in range(len(grid))], "part int"))  # the grid
+    seen = {r.part: r for r in recall_mrr(told.crossJoin(parts).join(firsts, ["part", "query_id"], "left"), ("part",)).collect()}
+    numbers = lambda k: (seen[k].recall, seen[k].mrr) if k in seen else (None, None)
+    return [(*pair, chunks.get(k, 0), *numbers(k), 1000 * seconds.get(k, 0.0) / max(1, n)) for k, pair in enumerate(grid)]
+
+
+def _runs(cases: DataFrame, told: DataFrame, docs: DataFrame, mode: str, top: int, n: int) -> list[tuple]:
+    rows = []
     for size, overlap in chunk_sizes():
         chunks = chunking.chunks(docs, size, overlap)
         began = time.perf_counter()
         found = retrieve_chunks(cases.select("query_id", "text"), chunks, mode, top=top).select("query_id", "rank", F.col("text").alias("found"))
-        met = found.join(cases.select("query_id", "expected"), "query_id")
-        hits = met.select("query_id", "rank", is_relevant(F.col("found"), F.lit(None), F.lit(None), F.col("expected"), F.lit(None), F.lit(None).cast("int")).alias("hit"))
-        told = cases if "kind" in cases.columns else cases.withColumn("kind", F.lit("positive"))
-        seen = recall_mrr(first_hits(told.select("query_id", "kind"), hits)).first()
+        hits = found.join(cases.select("query_id", "expected"), "query_id").select("query_id", "rank", _hit())
+        seen = recall_mrr(first_hits(told, hits)).first()
         rows.append((size, overlap, chunks.count(), seen.recall, seen.mrr, 1000 * (time.perf_counter() - began) / max(1, n)))
-    return by_mrr(cases.sparkSession.createDataFrame(rows, "chunk_size int, chunk_overlap int, chunks bigint, recall double, mrr double, latency_ms double"), "chunk_size", "chunk_overlap")
+    return rows
