@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import text as T
 from talweg.functions.vectors import l2_normalized
-from talweg.operators import admission, catalog, chunking, context, dense, evaluation, fusion, indexing, lexical, retrieval, sessions, validation
+from talweg.operators import admission, bulk, catalog, chunking, context, dense, evaluation, fusion, indexing, lexical, retrieval, sessions, validation
 from talweg.session import shared_folder, table
 from talweg.sources.html import visible_text
 
@@ -147,17 +147,20 @@ def eval_judge_metrics(spark, sf_dir):
 
 
 def sweep(spark, sf_dir):
-    """Modes x top_k x thresholds: one retrieval a mode, the rest are filters of its rows."""
+    """Modes x top_k x thresholds: one pass over the documents for all modes, the rest are filters of its rows."""
     cases, docs = _cases(spark, sf_dir), _docs(spark, sf_dir)
-    runs = None
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    for mode in evaluation.MODES:
-        found = retrieval.retrieve(cases, docs, mode, top=None, threshold=-1.0)  # nothing is cut yet
-        rows = found.withColumn("mode", F.lit(mode)).withColumn("floor", F.greatest(F.lit(fusion.FLOOR), fusion.MARGIN * best))
-        runs = rows if runs is None else runs.unionByName(rows)
-    met = runs.join(docs, "doc_id").join(cases.withColumnRenamed("text", "expected"), "query_id")
-    hits = met.filter(F.contains(T.normalize_eval(F.col("text")), T.normalize_eval(F.col("expected")))).select("mode", "query_id", "doc_id")
-    marked = runs.join(hits.withColumn("hit", F.lit(True)), ["mode", "query_id", "doc_id"], "left")
+    found = bulk.rankings(cases, docs, retrieval.CANDIDATES, retrieval.DIMENSIONS)  # nothing is cut yet
+    near = docs.join(F.broadcast(found.select("doc_id").distinct()), "doc_id", "left_semi")  # the candidates of the cases
+    fused = lexical.ranked(fusion.fuse(found), retrieval.CANDIDATES).select("query_id", "doc_id", "rank")
+    hybrid = retrieval.cosines(fused, cases, near).withColumn("mode", F.lit("hybrid"))
+    runs = found.withColumn("score", F.when(F.col("mode") == "dense", F.col("score"))).unionByName(hybrid)
+    best = F.max("score").over(Window.partitionBy("mode", "query_id"))
+    runs = runs.withColumn("floor", F.greatest(F.lit(fusion.FLOOR), fusion.MARGIN * best))
+    expected = cases.select("query_id", T.normalize_eval(F.col("text")).alias("expected"))
+    pairs = found.select("query_id", "doc_id").distinct().join(expected, "query_id")
+    met = near.select("doc_id", T.normalize_eval(F.col("text")).alias("plain")).join(F.broadcast(pairs), "doc_id")
+    hits = met.filter(F.coalesce(F.contains("plain", "expected"), F.lit(False))).select("query_id", "doc_id")  # else Spark normalizes all documents, to leave out nulls
+    marked = runs.join(hits.withColumn("hit", F.lit(True)), ["query_id", "doc_id"], "left")
     grid = spark.createDataFrame([(m, k, u) for m in evaluation.MODES for k in evaluation.TOP_KS for u in evaluation.THRESHOLDS], "mode string, top_k int, threshold double")
     kept = marked.join(F.broadcast(grid), "mode").filter(F.col("score").isNull() | (F.col("score") >= F.coalesce("threshold", "floor")))  # 60 rows
     place = F.row_number().over(Window.partitionBy("mode", "top_k", "threshold", "query_id").orderBy("rank", "doc_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import text as T
 from talweg.operators import bulk, chunking, evaluation, lexical, retrieval
+from talweg.plans import queries
 
 ODD = ["ΣΑΣ' Σ.ΣΑ ας", "ﬁn ½ x² Ⅷ ǅ ŉ", "İstanbul I ı ß ẞ", "a\x00b\x1cc\x85d", "ȩ́ 한글 ｆｕｌｌ", "naïve Ærø – “q” a_b 12", "͏ ៛ा क्षि"]
 
@@ -60,3 +61,28 @@ def test_without_cases_or_documents(spark, asked):
     docs = spark.createDataFrame([("a", "x y"), ("b", None)], "doc string, text string")
     assert {(r.chunks, r.recall) for r in evaluation.chunk_sweep(asked.limit(0), docs).collect()} == {(1, None)}
     assert {(r.chunks, r.recall) for r in evaluation.chunk_sweep(asked, docs.limit(0)).collect()} == {(0, 0.0)}
+
+
+def test_rankings_are_those_of_the_plans(spark, asked, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(corpus(5))), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(bulk, "BLOCK_TEXTS", 7)
+    monkeypatch.setattr(bulk, "BLOCK_CELLS", 60)
+    cases = asked.select(F.xxhash64("query_id").alias("query_id"), "text")
+    got = {(r.mode, r.query_id, r.rank): (r.doc_id, r.score) for r in bulk.rankings(cases, docs, 6, 64).collect()}
+    want = {("lexical", r.query_id, r.rank): (r.doc_id, r.score) for r in lexical.bm25(cases, docs, 6).collect()}
+    want |= {("dense", r.query_id, r.rank): (r.doc_id, r.score) for r in retrieval.dense_topk(cases, docs, 6).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1.1e-6) for k in want)
+
+
+def test_sweep_tokenizes_the_documents_once(spark, tmp_path, monkeypatch):
+    texts = [t for t in corpus(5) if t]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(t.split()[:5])) for i, t in enumerate(texts[:9])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def never(*a, **b):
+        raise AssertionError("a mode searched on its own")
+
+    for where, name in ((queries.lexical, "bm25"), (retrieval, "bm25"), (retrieval, "dense_topk")):
+        monkeypatch.setattr(where, name, never)
+    rows = queries.sweep(spark, str(tmp_path)).collect()
+    assert len(rows) == 60 and max(r.recall for r in rows) > 0
